@@ -1,7 +1,8 @@
 """Packing token sequences: Karmarkar-Karp multiway differencing of document tails into windows.
 
-A document's ids are cut every `size` ids; full pieces are sequences of their own. The last pieces
-of up to `group` documents are dealt to windows by differencing: each piece starts as a partial
+A document's ids are cut every `size` ids; full pieces are sequences of their own. What is left at
+its end is cut every `piece` ids, as finer pieces balance better, and up to `group` pieces or so
+are dealt to windows together by differencing: each piece starts as a partial
 partition of its own, and the two partial partitions with the widest gaps between their fullest and
 emptiest window are merged, fullest onto emptiest, until one is left. It starts from the fewest
 windows that could hold the pieces; while any window is over capacity the count rises by one.
@@ -93,7 +94,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
-def _pack_partition(name: str, size: int, group: int):
+def _pack_partition(name: str, size: int, piece: int, group: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -124,16 +125,15 @@ def _pack_partition(name: str, size: int, group: int):
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     ids = np.append(ids, np.uint32(1)).astype("<u4")
                     n = len(ids)
-                    for start in range(0, n, size):
-                        piece = ids[start : start + size]
-                        row = (doc, start, len(piece), zlib.crc32(piece.tobytes()), n)
-                        if len(piece) == size:
-                            rows.append((*row, serial, 0))
-                            serial += 1
-                        else:
-                            tails.append(row)
-                            if len(tails) >= group:
-                                close()
+                    whole = n - n % size
+                    for start in range(0, whole, size):
+                        rows.append((doc, start, size, zlib.crc32(ids[start : start + size]), n, serial, 0))
+                        serial += 1
+                    for start in range(whole, n, piece):
+                        cut = ids[start : start + piece]
+                        tails.append((doc, start, len(cut), zlib.crc32(cut), n))
+                    if len(tails) >= group:
+                        close()
             if len(rows) >= 4096:
                 yield out()
         close()
@@ -143,11 +143,11 @@ def _pack_partition(name: str, size: int, group: int):
     return run
 
 
-def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZE, group: int = 512) -> DataFrame:
+def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZE, piece: int = 512, group: int = 1024) -> DataFrame:
     """One row for each piece of a document: where it lies in the document and in which sequence.
 
     Each partition packs its own documents in one pass, so nothing is shuffled, and sequence ids
     begin with the partition's number; a task that runs again gives the same set of sequences for
     the rows it reads. A null or empty text is the final id alone. Repeated rows are packed each.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_partition(name, size, group), SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_partition(name, size, piece, group), SCHEMA)
