@@ -55,21 +55,21 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, lo
     return mix(np.add.reduceat(value, first) + lengths.astype(U))
 
 
-def word_hashes(data: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and length of every word, in order. Works in chunks cut at white space, so that
+def word_hashes(data: np.ndarray, lower: bool = False, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and length of every word, in order; gaps tells which bytes lie between words. Works in chunks cut at white space, so that
     memory follows the number of words and the longest word."""
     hashes, starts, sizes = [], [], []
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
         while end < n:
-            gap = np.flatnonzero(IS_SPACE[data[end : end + CHUNK]])
+            gap = np.flatnonzero(gaps[data[end : end + CHUNK]])
             if len(gap):
                 end += int(gap[0])
                 break
             end = min(n, end + CHUNK)
         part = data[at:end]
-        edge = np.diff(np.concatenate(([0], (~IS_SPACE[part]).view(np.int8), [0])))
+        edge = np.diff(np.concatenate(([0], (~gaps[part]).view(np.int8), [0])))
         begin = np.flatnonzero(edge == 1)
         length = np.flatnonzero(edge == -1) - begin
         hashes.append(segment_hashes(part, begin, length, lower))
