@@ -4,8 +4,9 @@ Documents are sets of word shingles. Equal sets become one class before anything
 of copies cost one row. Each class gets a SuperMinHash signature (Ertl, 2017), cut into bands; classes
 that share a band form a bucket. A bucket is compared with its least member only (a star, not all
 pairs), links are confirmed on the full sets, and union-find groups them. Then, in buckets whose
-members lie in more than one group, every member outside the bucket's main group is compared with all
-members of other groups, so that no link between candidates is missed.
+members lie in more than one group, every member outside the main group is compared with all members
+of other groups, so that no link between candidates is missed: pair by pair in small buckets, in blocks
+of full sets in large ones.
 
 With 32 bands of 5 values, a pair of similarity 0.8 shares no band with a probability of 3e-6.
 """
@@ -24,6 +25,8 @@ from kinescribe.llm.common import only_ids, pieces, shared_table, text_column
 from kinescribe.llm.hashing import U, gram_hashes, mix, word_hashes
 
 BANDS, ROWS = 32, 5
+#: Members of a bucket up to which pairs are listed, and sets in a block of the comparison beyond.
+SMALL, BLOCK = 64, 256
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,20 +217,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     # members of buckets that lie in several groups
     placed = member.join(group, F.col("id") == F.col("node"), "left").select("bucket", "set_key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("groups")).where("groups > 1")
-    placed = shared_table(placed.join(mixed.select("bucket", "main"), "bucket"), "placed")
-    left = placed.where("c != main").select("bucket", *[F.col(x).alias(x + "_a") for x in ("set_key", "id", "n", "c")])
-    right = placed.select("bucket", "main", *[F.col(x).alias(x + "_b") for x in ("set_key", "id", "n", "c")])
-    once = (F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
-    rest = (
-        left.join(right, "bucket")
-        .where((F.col("c_a") != F.col("c_b")) & once & fits(F.col("n_a"), F.col("n_b")))
-        .select(*[F.when(F.col("id_a") < F.col("id_b"), F.col(x + "_a")).otherwise(F.col(x + "_b")).alias(y) for x, y in (("id", "a"), ("set_key", "key_a"))],
-                *[F.when(F.col("id_a") < F.col("id_b"), F.col(x + "_b")).otherwise(F.col(x + "_a")).alias(y) for x, y in (("id", "b"), ("set_key", "key_b"))])
-        .distinct()
-        .join(star.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti")
-    )
-    late = shared_table(_confirmed(docs, classes, shared_table(rest, "rest"), shingle, percent), "links")
+    mixed = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("id").alias("head"))
+    mixed = mixed.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("groups"), F.sum("k").alias("size"), F.min("head").alias("head")).where("groups > 1")
+    placed = shared_table(placed.join(mixed.select("bucket", "main", "size", "head"), "bucket"), "placed")
+    late = [_small_buckets(docs, classes, placed.where(F.col("size") <= SMALL), star, shingle, percent), _large_buckets(docs, classes, placed.where(F.col("size") > SMALL), shingle, percent)]
+    late = shared_table(late[0].union(late[1]), "links")
     if not late.isEmpty():
         group = components(links.union(late))
 
@@ -236,16 +230,98 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """(set_key, members) of the classes named by keys. Only their texts are read into the join."""
+    wanted = keys.distinct().join(classes.select("set_key", F.col("id").alias("doc_id")), "set_key")
+    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("doc_id"))
+    sets = texts.join(wanted, "doc_id").select("set_key", text_column().alias("__bytes")).mapInArrow(_full_sets(shingle), "set_key binary, members binary")
+    return shared_table(sets.dropDuplicates(["set_key"]), "sets")
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links among pairs, on full sets. Only texts of classes in a pair are read into the join."""
-    wanted = pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")).distinct().join(classes.select("set_key", "id"), "set_key")
-    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select(F.col("id").alias("doc_id")))
-    sets = (
-        texts.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id")
-        .select("set_key", text_column().alias("__bytes"))
-        .mapInArrow(_full_sets(shingle), "set_key binary, members binary")
-        .dropDuplicates(["set_key"])
-    )
-    sets = shared_table(sets, "sets")
+    """The links among pairs, on full sets."""
+    sets = _sets(docs, classes, pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")), shingle)
     side = lambda x: sets.select(F.col("set_key").alias("key_" + x), F.col("members").alias("members_" + x))
     return pairs.join(side("a"), "key_a").join(side("b"), "key_b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def _small_buckets(docs: DataFrame, classes: DataFrame, placed: DataFrame, star: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between groups in buckets of at most SMALL members: pairs of a member outside the bucket's main
+    group with a member of another group."""
+    left = placed.where("c != main").select("bucket", *[F.col(x).alias(x + "_a") for x in ("set_key", "id", "n", "c")])
+    right = placed.select("bucket", "main", *[F.col(x).alias(x + "_b") for x in ("set_key", "id", "n", "c")])
+    once = (F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    first = F.col("id_a") < F.col("id_b")
+    rest = (
+        left.join(right, "bucket")
+        .where((F.col("c_a") != F.col("c_b")) & once & near)
+        .select(
+            F.least("id_a", "id_b").alias("a"), F.when(first, F.col("set_key_a")).otherwise(F.col("set_key_b")).alias("key_a"),
+            F.greatest("id_a", "id_b").alias("b"), F.when(first, F.col("set_key_b")).otherwise(F.col("set_key_a")).alias("key_b"),
+        )
+        .distinct()
+        .join(star.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti")
+    )
+    return _confirmed(docs, classes, shared_table(rest, "rest"), shingle, percent)
+
+
+def _large_buckets(docs: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links between groups in larger buckets, without a row for each pair.
+
+    Buckets that share members form a cluster. A cluster's members outside its main group are compared
+    with all its members, in blocks of about BLOCK sets; a task has two blocks, counts common shingles
+    through one sorted list, and returns no more than the links that connect groups."""
+    edges = placed.select(F.col("id").alias("a"), F.col("head").alias("b")).where("a != b").distinct()
+    cluster = components(edges)
+    doc = placed.select("id", "set_key", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "set_key", "c", F.col("component").alias("cluster"))
+    doc = shared_table(doc, "clustered")
+    sizes = doc.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = sizes.select("cluster", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mains"), blocks(F.col("all") - F.col("top.k")).alias("others"))
+    doc = doc.join(sizes, "cluster")
+    other = F.col("c") != F.col("main")
+    own = F.pmod(F.xxhash64("id"), F.when(other, F.col("others")).otherwise(F.col("mains"))).cast("int")
+    doc = doc.withColumn("block", F.when(other, own).otherwise(-1 - own)).withColumn("other", other).where("others > 0")
+    every = F.sequence(F.lit(0), F.col("others") - 1)
+    meet = F.when(
+        other,
+        F.concat(
+            F.transform(every, lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y"))),
+            F.transform(F.sequence(F.lit(1), F.col("mains")), lambda m: F.struct((-m).alias("x"), F.col("block").alias("y"))),
+        ),
+    ).otherwise(F.transform(every, lambda o: F.struct(F.col("block").alias("x"), o.alias("y"))))
+    doc = doc.join(_sets(docs, classes, doc.select("set_key"), shingle), "set_key")
+    task = doc.select("cluster", "id", "c", "other", "members", F.explode(meet).alias("at")).select("cluster", "at.x", "at.y", "id", "c", "other", "members")
+    return task.groupBy("cluster", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+
+
+def _compare(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, c, other = (group.column(x).to_numpy() for x in ("id", "c", "other"))
+        sets = [np.frombuffer(x, U) for x in group.column("members").to_pylist()]
+        size = np.array([len(x) for x in sets], np.int64)
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        up: dict[int, int] = {}
+        links: list[tuple[int, int]] = []
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                x = y
+            return x
+
+        for i in np.flatnonzero(other).tolist():
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            count = high - low
+            at = np.repeat(low - (np.add.accumulate(count) - count), count) + np.arange(int(count.sum()))
+            both = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (c != c[i])).tolist():
+                x, y = root(int(c[i])), root(int(c[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    links.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
