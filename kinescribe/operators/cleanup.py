@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinescribe.functions import text as tx
 from kinescribe.functions.base import let
 from kinescribe.functions.layout import GAP, LONG, SHORT, long_split, text_lines
+from kinescribe.sources.staging import shared_table
 
 EVENT = "struct<stage:string,reason:string,start_seconds:double,end_seconds:double,text:string,observation_count:bigint,details:map<string,string>>"
 
@@ -41,10 +42,13 @@ def split_long(text: Column, start: Column, end: Column) -> Column:
 def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(segments, events). Short segments are noted and kept; those whose text is empty or noise after another
     cleaning go, with an event; suspicious texts seen once are noted and kept; long ones are cut once and each
-    piece is cleaned again. input_ord keeps the order; events have (input_ord, event_ord)."""
+    piece is cleaned again. input_ord keeps the order; events have (input_ord, event_ord).
+
+    Each judgement reads the text before it several times, so the texts are written between them: filters and
+    generators over computed columns would otherwise compute the whole chain again for each use."""
     start, end, text = F.col("start_seconds"), F.col("end_seconds"), F.col("text")
     once = F.col("observation_count") <= 1
-    s = segments.withColumn("__clean", tx.clean(text))
+    s = shared_table(segments.withColumn("__clean", tx.clean(text)), "cleaned")
     s = s.withColumn("__valid", (F.col("__clean") != "") & ~tx.is_noise(F.col("__clean")))
     s = s.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious(F.col("__clean"))).otherwise(False))
     s = s.withColumn("__cut", F.when(F.col("__valid"), split_long(F.col("__clean"), start, end)))
@@ -55,9 +59,10 @@ def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
         event(F.col("__odd"), "cleanup", "suspicious_single_observation_preserved", start, end, text, cleaned_text=F.col("__clean")),
         event(F.coalesce(F.col("__cut.short"), F.lit(False)), "cleanup", "long_segment_not_split_to_preserve_short_piece", start, end, F.col("__clean"), threshold_seconds=F.lit(SHORT)),
     ))
-    s = s.withColumn("__events", before)
+    s = shared_table(s.withColumn("__events", before), "judged")
     p = s.where("__valid").select(*segments.columns, F.posexplode("__cut.pieces").alias("piece", "__p"))
     p = p.withColumns({"start_seconds": F.col("__p.start"), "end_seconds": F.col("__p.end"), "__before": F.col("__p.text"), "text": tx.clean(F.col("__p.text"))})
+    p = shared_table(p.drop("__p"), "pieces")
     p = p.withColumn("__valid", (F.col("text") != "") & ~tx.is_noise(F.col("text")))
     p = p.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious(F.col("text"))).otherwise(False))
     after = F.array_compact(F.array(

@@ -53,5 +53,6 @@ def timing_safety(segments: DataFrame, min_segment: float = 0.65, gap: float = G
 def remove_overlaps(segments: DataFrame, gap: float = GAP) -> DataFrame:
     """Ends cut to the next segment's start less gap, but not before their own start."""
     order = Window.partitionBy("run_id").orderBy("start_seconds", "end_seconds", "input_ord")
-    cut = F.least(F.col("end_seconds"), F.greatest(F.col("start_seconds"), F.lead("start_seconds").over(order) - gap))
-    return segments.withColumn("end_seconds", F.coalesce(cut, F.col("end_seconds")))
+    after = F.lead("start_seconds").over(order) - gap
+    cut = F.least(F.col("end_seconds"), F.greatest(F.col("start_seconds"), after))
+    return segments.withColumn("end_seconds", F.when(after.isNull(), F.col("end_seconds")).otherwise(cut))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kinescribe.operators import audit, cleanup, engines, imaging, islands, readings, select, timing
 from kinescribe.schemas import Settings
 from kinescribe.sources import io
+from kinescribe.sources.staging import shared_table
 
 
 @dataclass
@@ -24,11 +25,16 @@ def merge(observations: DataFrame, similarity: float = 0.86, gap: float = 4.0, m
     """Observations (run_id, input_ord, frame_index, timestamp_seconds, selected_text) to timed segments.
 
     All of it is partitioned by run: rows of a run are shuffled once for the windows, then once as segments.
+    The stages are written to the shared folder, as segments, events and the audit all read them; a text is
+    so cleaned once in each stage, which the plan alone would not keep to.
     Runs without usable observations have an audit row of zeros and no segments."""
-    status = islands.observation_status(observations)
+    status = shared_table(islands.observation_status(observations), "observations")
     usable = status.where("status = 'usable'")
-    raw = islands.segments(islands.islands(usable, gap, similarity), hold).withColumn("input_ord", F.col("island"))
-    cleaned, early = cleanup.cleanup(raw.drop("island"))
+    placed = shared_table(islands.islands(usable, gap, similarity, keep_norm=True), "islands")
+    raw = islands.segments(placed, hold, F.col("norm")).withColumn("input_ord", F.col("island"))
+    raw = shared_table(raw.drop("island"), "segments")
+    cleaned, early = cleanup.cleanup(raw)
+    cleaned = shared_table(cleaned, "cleaned")
     final, late = timing.timing_safety(cleaned, min_segment)
     events = early.withColumn("stage_ord", F.lit(0)).unionByName(late.withColumn("stage_ord", F.lit(1)))
     settings = {"merge_similarity": similarity, "merge_gap_seconds": gap, "min_segment_seconds": min_segment, "hold_seconds": hold}
