@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinescribe.sources.staging import shared_table as shared_table
+
 #: Words are runs of anything but space, tab, LF, VT, FF and CR (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,31 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint
-    folder already set on the context; a temporary one only where neither is set (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinescribe-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives
-    lost executors, and later passes read it instead of computing it again. The table goes
-    when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = 1 << 22) -> DataFrame:
     """Rows of df whose id may be among ids: a one-hash bitmap of fixed size (bits / 64 rows of
     16 bytes) is broadcast. It passes a superset, so an exact join must follow; a full bitmap

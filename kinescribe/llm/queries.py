@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinescribe.llm import audio, chat, licenses, lz, mixing, neardup, packing, quality, secrets, substrings
 from kinescribe.llm.common import table
@@ -17,7 +18,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     return chat.read_back(chat.format_conversations(turns.union(extra))).drop("loss_mask")
 
 
