@@ -41,7 +41,11 @@ def starts(text: Column, phrases: Iterable[str]) -> Column:
 
 
 def holds(text: Column, phrases: Iterable[str]) -> Column:
-    return text.rlike("|".join(map(_literal, phrases)))
+    """Plain searches, one a phrase: faster than a pattern of alternatives tried at every place."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(p)
+    return out
 
 
 def chars(text: Column) -> Column:

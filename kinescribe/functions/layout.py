@@ -46,12 +46,20 @@ def sentence_pair(text: Column) -> Column:
     return let(sentences(text), choose)
 
 
+def _split_index(text: Column) -> Column:
+    size = F.length(text)
+
+    def best(n: Column) -> Column:
+        spaces = F.filter(F.transform(chars(text), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+        over = lambda k: F.greatest(F.lit(0), k - LINE)
+        return F.array_min(F.transform(spaces, lambda i: F.struct((over(i) + over(n - i - 1)).alias("over"), F.abs(i - n / 2).alias("off"), i.alias("at"))))["at"]
+
+    return let(size, best)
+
+
 def split_index(text: Column) -> Column:
     """The space (from 0) at which two lines overflow least, then the one nearest the middle; null if none."""
-    spaces = F.filter(F.transform(chars(text), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
-    over = lambda n: F.greatest(F.lit(0), n - LINE)
-    scored = F.transform(spaces, lambda i: F.struct((over(i) + over(F.length(text) - i - 1)).alias("over"), F.abs(i - F.length(text) / 2).alias("off"), i.alias("at")))
-    return F.array_min(scored)["at"]
+    return let(text, _split_index)
 
 
 def _halves(text: Column, at: Column) -> Column:
@@ -101,7 +109,7 @@ def layout(text: Column) -> Column:
 
         return (
             F.when(F.size(lines) == 0, F.array().cast("array<string>"))
-            .otherwise(let(sentence_pair(joined), lambda p: F.when(p.isNotNull() & _fit(p), p)
+            .otherwise(let(let(joined, sentence_pair), lambda p: F.when(p.isNotNull() & _fit(p), p)
             .when((F.size(lines) <= LINES) & _fit(lines), lines)
             .when((F.size(lines) == LINES) & F.exists(lines, lambda x: x.startswith("-")), wrapped(lines))
             .otherwise(rest(p))))
@@ -119,23 +127,28 @@ def display_length(text: Column) -> Column:
 
 
 def sentence_split(text: Column) -> Column:
-    """array of two: the text cut at the sentence boundary nearest its middle (the left of equals); null if none."""
-    def cut(parts: Column) -> Column:
-        # boundaries from the lengths of what stands between them and of the white space at them
-        marks = F.regexp_extract_all(text, F.lit(BOUNDARY), F.lit(0))
-        walk = F.aggregate(
-            F.arrays_zip(F.slice(parts, F.lit(1), F.size(parts) - 1).alias("part"), marks.alias("mark")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-            lambda s, x: let(s["at"] + F.length(x["part"]), lambda b: F.struct((b + F.length(x["mark"])).alias("at"), F.concat(s["all"], F.array(b)).alias("all"))),
-            lambda s: s["all"],
-        )
-        best = lambda bs: F.array_min(F.filter(F.transform(bs, lambda b: F.struct(F.abs(b - F.length(text) / 2).alias("off"), b.alias("at"), _halves(text, b).alias("halves"))), lambda c: (c["halves"][0] != "") & (c["halves"][1] != "")))["halves"]
-        return F.when(F.size(parts) > 1, let(walk, best))
+    """array of two: the text cut at the sentence boundary nearest its middle (the left of equals); null if none.
+    Text stands on both sides of a boundary, so the nearest one always works."""
+    def cut(t: Column) -> Column:
+        # a boundary's place follows from the lengths of what stands between boundaries and of the space at them
+        zipped = F.arrays_zip(F.split(t, BOUNDARY, -1).alias("part"), F.regexp_extract_all(t, F.lit(BOUNDARY), F.lit(0)).alias("mark"))
+        start = F.struct(F.lit(0).alias("at"), (F.length(t) / 2).alias("half"), F.lit(None).cast("struct<off:double,at:int>").alias("best"))
+
+        def step(s: Column, x: Column) -> Column:
+            def mark(b: Column) -> Column:
+                here = F.when(x["mark"].isNotNull(), F.struct(F.abs(b - s["half"]).alias("off"), b.alias("at")))
+                return F.struct((b + F.coalesce(F.length(x["mark"]), F.lit(0))).alias("at"), s["half"].alias("half"), F.least(s["best"], here).alias("best"))
+
+            return let(s["at"] + F.length(x["part"]), mark)
 
-    return let(F.split(text, BOUNDARY, -1), cut)
+        return let(F.aggregate(zipped, start, step, lambda s: s["best"]["at"]), lambda b: F.when(b.isNotNull(), _halves(t, b)))
+
+    return let(text, cut)
 
 
 def long_split(text: Column) -> Column:
     """array of two for consecutive captions: by sentence, else at the best space; null if neither works."""
-    words = let(split_index(text), lambda i: F.when(i.isNotNull(), let(_halves(text, i), lambda h: F.when((h[0] != "") & (h[1] != ""), h))))
-    return F.coalesce(sentence_split(text), words)
+    def words(t: Column) -> Column:
+        return let(split_index(t), lambda i: F.when(i.isNotNull(), let(_halves(t, i), lambda h: F.when((h[0] != "") & (h[1] != ""), h))))
+
+    return let(text, lambda t: F.coalesce(sentence_split(t), words(t)))

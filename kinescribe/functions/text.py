@@ -83,7 +83,9 @@ def ngram_loop(norm: Column) -> Column:
         def loops(width: int) -> Column:
             return let(most(width), lambda c: (c >= 4) & (c * width >= F.size(words) * 0.55))
 
-        return F.when(F.size(words) < 10, False).otherwise(loops(2) | loops(3) | loops(4) | loops(5))
+        # a phrase that fills 0.55 of n words has a first word that comes 0.55 / 5 * n times at least
+        some = lambda top: F.when((top >= 4) & (top * 5 >= F.size(words) * 0.55 - 1e-9), loops(2) | loops(3) | loops(4) | loops(5)).otherwise(False)
+        return F.when(F.size(words) < 10, False).otherwise(let(most(1), some))
 
     return let(F.split(norm, " "), test)
 

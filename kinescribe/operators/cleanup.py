@@ -35,8 +35,8 @@ def split_long(text: Column, start: Column, end: Column) -> Column:
 
         return F.when(parts.isNull(), one(False)).otherwise(let(at, pieces))
 
-    joined = F.array_join(text_lines(text), " ")
-    return F.when(F.length(joined) <= LONG, one(False)).otherwise(let(long_split(joined), cut))
+    long = lambda joined: F.when(F.length(joined) <= LONG, one(False)).otherwise(let(long_split(joined), cut))
+    return let(F.array_join(text_lines(text), " "), long)
 
 
 def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -37,7 +37,7 @@ def islands(usable: DataFrame, gap: float = 4.0, similarity: float | None = 0.86
         o = o.withColumn("__same", near & (F.lag(text).over(order) == F.col(text)))
     else:
         both = let(tx.normalize(F.col(text)), lambda n: F.struct(n.alias("norm"), tx.normalize(n).alias("again")))
-        o = o.repartition(RUN).withColumn("__n", both)
+        o = o.withColumn("__n", both)
         o = o.withColumn("__norm", F.col("__n.norm")).withColumn("__again", F.col("__n.again")).drop("__n")
         o = o.withColumns({"__norm0": F.when(near, F.lag("__norm").over(order)), "__again0": F.when(near, F.lag("__again").over(order))})
         side = lambda x: {"norm": F.coalesce("__norm" + x, F.lit("")), "again": F.coalesce("__again" + x, F.lit(""))}

@@ -28,6 +28,9 @@ def merge(observations: DataFrame, similarity: float = 0.86, gap: float = 4.0, m
     The stages are written to the shared folder, as segments, events and the audit all read them; a text is
     so cleaned once in each stage, which the plan alone would not keep to.
     Runs without usable observations have an audit row of zeros and no segments."""
+    # an own number of partitions: cleaning costs far more than its bytes, by which small partitions would be merged
+    parts = int(observations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    observations = observations.repartition(parts, "run_id", "input_ord")
     status = shared_table(islands.observation_status(observations), "observations")
     usable = status.where("status = 'usable'")
     placed = shared_table(islands.islands(usable, gap, similarity, keep_norm=True), "islands")
