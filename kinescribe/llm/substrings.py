@@ -161,7 +161,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> t
 
     # runs that other documents of the class repeat whole, and what the class's least document repeats of smaller ones
     info = shared.select("anchor", "run", "least", "most").join(matched, ["anchor", "run"], "left").where((F.col("least") < F.col("most")) | F.col("steps").isNotNull())
-    hit = each.join(info, ["anchor", "run"])
+    # written, so that both sides of the join come by plain exchanges: then the runtime can split a frequent key
+    hit = each.join(shared_table(info, "info"), ["anchor", "run"])
     whole = hit.where("doc_id > least").select("doc_id", F.col("first").alias("from"), F.col("last").alias("to"))
     part = hit.where("doc_id = least and steps is not null").select("doc_id", "first", F.explode("steps").alias("step")).select("doc_id", (F.col("first") + F.col("step")).alias("from"), (F.col("first") + F.col("step")).alias("to"))
     return seeded.select("doc_id", "n_words", "sha256"), whole.union(part)
