@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 from conftest import DATA
-from test_operators import brute_groups, brute_secrets
+from test_corpus_operators import brute_groups, brute_secrets
 
 import corpus_pipeline
 from kinescribe.llm import packing, quality
