@@ -146,8 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 6000, dims: int =
             counts = term_counts(data, at).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array([x.tobytes() for x in counts], pa.binary())], names=["doc_id", "quality", "counts"])
 
-    got = texts.mapInArrow(run, "doc_id long, quality int, counts binary").toPandas()
-    got = got.sort_values(["doc_id", "quality", "counts"]).drop_duplicates().head(labelled)
+    # one row a doc_id, however many rows have it, so that no more than `labelled` come to the driver
+    got = texts.mapInArrow(run, "doc_id long, quality int, counts binary").groupBy("doc_id").agg(F.min(F.struct("counts", "quality")).alias("x"))
+    got = got.select("doc_id", "x.quality", "x.counts").toPandas().sort_values("doc_id")
     counts = np.frombuffer(b"".join(got["counts"]), np.float16).reshape(-1, TERMS).astype(np.float32)
     return fit(counts, got["quality"].to_numpy(), dims, near)
 
