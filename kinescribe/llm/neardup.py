@@ -175,6 +175,8 @@ def components(links: DataFrame) -> DataFrame:
     every node takes the least label around it, and the label's own label, until none changes. Labels
     are written to the shared folder in each round; only a count comes to the driver."""
     forest = shared_table(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "forest")
+    if forest.isEmpty():
+        return forest.select(F.col("a").alias("node"), F.col("b").alias("component"))
     both = forest.union(forest.select("b", "a"))
     labels = shared_table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
@@ -220,10 +222,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     mixed = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("id").alias("head"))
     mixed = mixed.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("groups"), F.sum("k").alias("size"), F.min("head").alias("head")).where("groups > 1")
     placed = shared_table(placed.join(mixed.select("bucket", "main", "size", "head"), "bucket"), "placed")
-    late = [_small_buckets(docs, classes, placed.where(F.col("size") <= SMALL), star, shingle, percent), _large_buckets(docs, classes, placed.where(F.col("size") > SMALL), shingle, percent)]
-    late = shared_table(late[0].union(late[1]), "links")
-    if not late.isEmpty():
-        group = components(links.union(late))
+    small, large = placed.where(F.col("size") <= SMALL), placed.where(F.col("size") > SMALL)
+    late = []
+    if not small.isEmpty():
+        late.append(_small_buckets(docs, classes, small, star, shingle, percent))
+    if not large.isEmpty():
+        late.append(_large_buckets(docs, classes, large, shingle, percent))
+    # each is written before it is joined to the rest, and without any late link the groups stand
+    late = [found for found in (shared_table(x, "links") for x in late) if not found.isEmpty()]
+    for found in late:
+        links = links.union(found)
+    if late:
+        group = components(links)
 
     by_class = classes.join(group, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
@@ -239,7 +249,9 @@ def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) ->
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The links among pairs, on full sets."""
+    """The links among pairs (a written table), on full sets."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     sets = _sets(docs, classes, pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")), shingle)
     side = lambda x: sets.select(F.col("set_key").alias("key_" + x), F.col("members").alias("members_" + x))
     return pairs.join(side("a"), "key_a").join(side("b"), "key_b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
