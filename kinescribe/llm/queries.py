@@ -78,7 +78,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+# RE2 has neither lookbehind nor back-references: greedy runs need none, and one repeated character can't have both a letter and a digit.
+SECRETS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT 0 AS kind, '(?:(?i)password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p
+  UNION ALL SELECT 1, 'AKIA[A-Z0-9]{14,}' UNION ALL SELECT 2, '[0-9a-f]{16,}' UNION ALL SELECT 3, '[A-Za-z0-9+/_=-]{20,}'),
+m AS (SELECT doc_id, kind, p, string_split_regex(t, p) AS parts, regexp_extract_all(t, p) AS hits FROM d, k),
+u AS (SELECT doc_id, kind, p, unnest(hits) AS hit, unnest(parts[1:len(hits)]) AS part, unnest(range(len(hits))) AS i FROM m),
+s AS (SELECT *, sum(length(part) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM u),
+base AS (SELECT doc_id, kind, stop - length(hit) AS a, stop AS z FROM s WHERE kind IN (1, 2) OR (kind = 0 AND length(regexp_extract(hit, p, 1)) >= 12)),
+c AS (SELECT doc_id, hit, stop - length(hit) AS head, CASE WHEN regexp_matches(hit, '^[0-9a-fA-F]+$') THEN 3 WHEN regexp_matches(hit, '^[A-Za-z0-9]+$') THEN 4 ELSE 5 END AS kind
+  FROM s WHERE kind = 3 AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND NOT regexp_matches(hit, '(?i)example|sample|dummy|placeholder|changeme')
+    AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')),
+w AS (SELECT doc_id, kind, head, hit, unnest(range(length(hit) - 19)) AS i FROM c),
+e AS (SELECT doc_id, kind, head + min(i) AS a, head + max(i) + 20 AS z FROM w
+  WHERE list_entropy(string_split(hit[i + 1:i + 20], '')) + 1e-9 >= CASE kind WHEN 3 THEN 3.0 WHEN 4 THEN 3.7 ELSE 3.9 END GROUP BY doc_id, kind, head),
+x AS (SELECT *, true AS base FROM base UNION ALL SELECT *, false FROM e),
+n AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_alnum', 'entropy_base64'][kind + 1] || ':' || a || ':' || z AS line FROM x),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  string_agg(line, ',' ORDER BY a, kind) FILTER (base) AS lines, string_agg(line, ',' ORDER BY a, kind) AS spans FROM n GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(lines, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express whole: the rest are held against brute force in the tests."""
-    return {"op2_near_duplicates": NEAR_DUPLICATES, "op5_repeated_passages": REPEATED_PASSAGES, "op7_chat_format": CHAT}
+    return {"op2_near_duplicates": NEAR_DUPLICATES, "op5_repeated_passages": REPEATED_PASSAGES, "op6_secret_scan": SECRETS, "op7_chat_format": CHAT}
