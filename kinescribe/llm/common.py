@@ -19,10 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", bits: int = 1 << 22) -> DataFrame:
-    """Rows of df whose id may be among ids: a one-hash bitmap of fixed size (bits / 64 rows of
-    16 bytes) is broadcast. It passes a superset, so an exact join must follow; a full bitmap
-    passes everything and costs only time."""
+def fresh(df: DataFrame, name: str) -> str:
+    """A name for a working column that df doesn't have, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    name = "__" + name
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bits of the greatest id filter: 2 million words of 64 bits, about 100 MB when broadcast.
+MOST_BITS = 1 << 27
+
+
+def only_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", most: int = MOST_BITS) -> DataFrame:
+    """Rows of df whose id may be among ids (a written table): a one-hash bitmap of 8 to 16 bits an id is
+    broadcast. It passes a superset, at most an eighth of the rest, so an exact join must follow. Where that
+    many ids would need more than `most` bits nothing is broadcast, and the join alone decides."""
+    bits = max(1 << 12, 1 << (8 * ids.count()).bit_length())
+    if bits > most:
+        return df
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     word = lambda c: F.shiftright(at(c), 6)
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (at(c) % 64).cast("int"))

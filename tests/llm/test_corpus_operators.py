@@ -373,12 +373,39 @@ def test_quality(docs, none, spark):
 
 def test_votes_are_exact():
     rng = np.random.default_rng(2)
-    model = quality.Model(np.eye(quality.TERMS, 8, dtype=np.float32), rng.standard_normal((40, 8)).astype(np.float32), rng.integers(0, 2, 40).astype(float), 5)
+    model = quality.Model(np.eye(quality.TERMS, 8, dtype=np.float32), rng.standard_normal((40, 8)).astype(np.float32), rng.integers(0, 2, 40).astype(float), np.arange(40), 5)
     model.vectors /= np.linalg.norm(model.vectors, axis=1, keepdims=True)
     x = np.zeros((300, quality.TERMS), np.float32)
     x[:, :8] = rng.standard_normal((300, 8))
     close = x[:, :8] / np.linalg.norm(x[:, :8], axis=1, keepdims=True) @ model.vectors.T
-    for got, row in zip(model.score(x), close):
-        best = np.argsort(-row)[:5]
+    keys = np.where(np.arange(300) < 40, np.arange(300), -1)
+    for i, (got, row) in enumerate(zip(model.score(x, keys), close)):
+        best = [j for j in np.argsort(-row) if j != i][:5]
         w = np.maximum(row[best].astype(float), 1e-6) ** 8
         assert math.isclose(got, (w * model.labels[best]).sum() / w.sum(), rel_tol=1e-4)
+
+
+def test_no_vote_of_its_own(spark):
+    """The whole operator against a plain version, and a row's own label turned round."""
+    r = random.Random(8)
+    rows = [(i, None if i == 7 else "" if i == 8 else " ".join(words(r.randrange(1, 60), i, 30 if i % 2 else 3000)) + ("!!! $$" * 5 if i % 2 else "")) for i in range(60)]
+    rows += [(60, rows[0][1]), (61, rows[1][1]), rows[2], (None, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    truth = {i: int(i % 2 == 0) for i in range(40)}
+    score = lambda known: {i: s for i, s in sorted((r.doc_id, r.score) for r in quality.classify(docs, spark.createDataFrame(list(known.items()), "doc_id long, quality int")).collect() if r.doc_id is not None)}
+    before = score(truth)
+
+    learnt = [i for i in truth if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts = dict(rows[:62])
+    raw = {i: (t or "").encode() + b"\n" for i, t in texts.items()}
+    counts = lambda i: quality.term_counts(np.frombuffer(raw[i], np.uint8), np.array([0, len(raw[i])]))
+    held = sum((counts(i)[0] > 0).astype(int) for i in [*texts, 2, 3])
+    data = np.concatenate([counts(i) for i in learnt]).astype(np.float16).astype(np.float32)
+    model = quality.fit(data, np.array([truth[i] for i in learnt]), np.zeros(len(learnt)), held, 64)
+    for i in texts:
+        close = (model.project(counts(i)) @ model.vectors.T)[0]
+        best = sorted((j for j, x in enumerate(learnt) if (texts[x] or "") != (texts[i] or "")), key=lambda j: -close[j])[:15]
+        w = np.maximum(close[best].astype(float), 1e-6) ** 8
+        assert math.isclose(before[i], (w * model.labels[best]).sum() / w.sum(), rel_tol=1e-3, abs_tol=1e-3)
+    for i in learnt[:2]:
+        assert score(truth | {i: 1 - truth[i]})[i] == before[i]
