@@ -78,6 +78,39 @@ SELECT conv_id, count(*) AS n_turns,
 FROM r GROUP BY conv_id
 """
 
+# As shipped: weights 5, 2, 1, limit 3, blocks of 64 words at most, seed 11, 4096 shards, 64 documents a shard at least.
+SOURCE_MIX = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('11' || chr(10) || coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')) AS h FROM documents),
+g AS (SELECT doc_id, source, size, ('0x' || h[1:15])::BIGINT AS draw, ('0x' || h[18:32])::BIGINT AS turn, count(*)::BIGINT AS m FROM d GROUP BY ALL),
+s1 AS (SELECT source, sum(size * m)::BIGINT AS source_size, sum(m)::BIGINT AS n FROM g GROUP BY source),
+s2 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s1),
+s3 AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS weight, source_size * 3 AS cap FROM s2),
+s4 AS (SELECT *, row_number() OVER o AS rank, coalesce(sum(cap) OVER p, 0)::DOUBLE AS caps, coalesce(sum(weight) OVER p, 0)::DOUBLE AS heavy, sum(source_size) OVER ()::DOUBLE AS total, sum(weight) OVER ()::DOUBLE AS weights
+  FROM s3 WINDOW o AS (ORDER BY cap / weight, place), p AS (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s5 AS (SELECT *, (total - caps) / (weights - heavy) AS level FROM s4),
+s6 AS (SELECT *, coalesce(least(cap, weight * (SELECT arg_min(level, rank) FROM s5 WHERE cap / weight > level)), cap)::DOUBLE AS target FROM s5),
+u AS (SELECT sum(n) AS rows, greatest(1, least(64, floor(coalesce(min(target) FILTER (target > 0), 1.0) / 16)))::BIGINT AS block FROM s6),
+s AS (SELECT source, place, source_size, target, block, ceil(n / greatest(64.0::DOUBLE, rows / 4096))::BIGINT AS parts, floor(target / block + 0.5::DOUBLE)::BIGINT AS seats, least(floor(target / block + 0.5::DOUBLE)::BIGINT * block, source_size * 3) AS wanted FROM s6, u),
+e AS (SELECT g.*, place, source_size, target, block, seats, wanted, draw % parts AS shard FROM g JOIN s ON g.source IS NOT DISTINCT FROM s.source),
+p1 AS (SELECT place, shard, sum(size * m)::BIGINT AS words, any_value(block) AS block, any_value(seats) AS seats, any_value(wanted) AS wanted, any_value(source_size) AS source_size FROM e GROUP BY place, shard),
+c AS (SELECT place, shard, seats, words / (2 * unnest(range((seats * words / greatest(source_size, 1))::BIGINT + 2)) + 1)::DOUBLE AS q FROM p1 WHERE words > 0),
+w AS (SELECT place, shard, count(*) AS won FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY place ORDER BY q DESC, shard) <= seats) GROUP BY ALL),
+p2 AS (SELECT p1.*, words * 3 AS top, least(coalesce(won, 0) * block, words * 3) AS got FROM p1 LEFT JOIN w USING (place, shard)),
+p3 AS (SELECT *, greatest(0, least(wanted, sum(top) OVER (PARTITION BY place)) - sum(got) OVER (PARTITION BY place)) AS lack,
+  coalesce(sum(top - got) OVER (PARTITION BY place ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM p2),
+p4 AS (SELECT place, shard, words, block, (got + greatest(0, least(lack - above, top - got)))::BIGINT AS quota FROM p3),
+p5 AS (SELECT *, CASE WHEN words > 0 THEN quota // words ELSE 0 END AS turns, quota - CASE WHEN words > 0 THEN quota // words ELSE 0 END * words AS lft, words // block AS k, ('0x' || md5('11' || chr(10) || place || chr(10) || shard)[1:15])::BIGINT AS draw FROM p4),
+p6 AS (SELECT place, shard, block, turns, lft, k, lft // block AS pick, CASE WHEN k > 0 THEN draw % k ELSE 0 END AS st FROM p5),
+p AS (SELECT *, CASE WHEN k > pick THEN st // (k - pick) ELSE k END AS spare FROM p6),
+f AS (SELECT doc_id, size, source_size, target, place, shard, unnest(range(m)) AS nth, size * m AS words, sum(size * m) OVER (PARTITION BY place, shard ORDER BY turn, draw, doc_id)::BIGINT AS stop FROM e),
+x AS (SELECT f.doc_id, size, source_size, target, turns, block, k, pick, st, spare, lft, row_number() OVER () AS r, stop - f.words + nth * size AS x FROM f JOIN p USING (place, shard)),
+y AS (SELECT *, x + size * side AS y, least((x + size * side) // block, k) AS b FROM x, (SELECT unnest([0, 1]) AS side)),
+z AS (SELECT *, CASE WHEN k > 0 THEN (b * pick + st) // k ELSE 0 END AS d0, CASE WHEN k > 0 THEN ((b + 1) * pick + st) // k ELSE 0 END AS d1 FROM y),
+v AS (SELECT *, d0 * block + CASE WHEN b < k THEN (y - b * block) * (d1 - d0) ELSE 0 END + least(greatest(y - spare * block, 0), lft - pick * block) AS t FROM z)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, (any_value(turns * size) + sum(CASE side WHEN 1 THEN t ELSE -t END))::BIGINT AS taken FROM v GROUP BY r
+"""
+
 # RE2 has neither lookbehind nor back-references: greedy runs need none, and one repeated character can't have both a letter and a digit.
 SECRETS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -104,4 +137,4 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries it can express whole: the rest are held against brute force in the tests."""
-    return {"op2_near_duplicates": NEAR_DUPLICATES, "op5_repeated_passages": REPEATED_PASSAGES, "op6_secret_scan": SECRETS, "op7_chat_format": CHAT}
+    return {"op4_source_mix": SOURCE_MIX, "op2_near_duplicates": NEAR_DUPLICATES, "op5_repeated_passages": REPEATED_PASSAGES, "op6_secret_scan": SECRETS, "op7_chat_format": CHAT}

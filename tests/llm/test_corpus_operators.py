@@ -188,17 +188,13 @@ def test_apportion(spark):
         assert {x["id"]: x["seats"] for x in got} == sainte_lague(votes, seats)
 
 
-def test_mixing(docs, none):
-    got = mixing.mix_sources(docs, block=1, shard_rows=3).collect()
-    rows = [(r.doc_id, len((r.text or "").encode().split()), r.source) for r in docs.collect()]
-    total = defaultdict(int)
-    for _, n, s in rows:
-        total[s] += n
-    order = sorted((s for s in total if s is not None)) + ([None] if None in total else [])
+def brute_targets(total):
+    order = sorted(s for s in total if s is not None) + ([None] if None in total else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
     target, free, rest = {}, set(order), float(sum(total.values()))
     while free:
-        share = {s: rest * weight[s] / sum(weight[x] for x in free) for s in free}
+        heavy = sum(weight[x] for x in free)
+        share = {s: rest * weight[s] / heavy for s in free}
         over = [s for s in free if share[s] > 3 * total[s]]
         if not over:
             target |= share
@@ -207,18 +203,69 @@ def test_mixing(docs, none):
             target[s] = 3.0 * total[s]
             rest -= target[s]
             free.discard(s)
+    return target
+
+
+def check_mix(rows, got, most):
+    """rows: (doc_id, size, source); got: the operator's rows; most: words that a source may be off its target."""
+    total, taken, source = defaultdict(int), defaultdict(int), {}
+    for i, n, s in rows:
+        total[s] += n
+        source[i] = s
+    target = brute_targets(total)
     assert Counter((i, n) for i, n, _ in rows) == Counter((r.doc_id, r.size) for r in got)
-    source = {i: s for i, _, s in rows}
-    taken = defaultdict(int)
     for r in got:
-        assert r.source_size == total[source[r.doc_id]] and math.isclose(r.target, target[source[r.doc_id]], rel_tol=1e-9)
+        s = source[r.doc_id]
+        assert r.source_size == total[s] and math.isclose(r.target, target[s], rel_tol=1e-9, abs_tol=1e-9)
         assert 0 <= r.taken <= 3 * r.size
-        taken[source[r.doc_id]] += r.taken
-    assert all(abs(taken[s] - target[s]) <= 3 for s in order)
-    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sources(docs, block=1, shard_rows=3).collect()))
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= most for s in total)
+
+
+def test_mixing(docs, none):
+    got = mixing.mix_sources(docs, shard_rows=3).collect()
+    check_mix([(r.doc_id, len((r.text or "").encode().split()), r.source) for r in docs.collect()], got, 32)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_sources(docs.repartition(7), shard_rows=3).collect()))
     assert mixing.mix_sources(none).count() == 0
-    whole = mixing.mix_documents(docs, block=1)
+    whole = mixing.mix_documents(docs)
     assert whole.columns == docs.columns and all(n <= 6 for n in Counter(r.doc_id for r in whole.collect()).values())
+    assert mixing.mix_documents(none).count() == 0
+
+
+def test_mixing_of_many_small_sources(spark):
+    """2,000 sources of 12 words, as shipped: each has its target to the block, which is a word or two here."""
+    rows = [(2 * i + k, " ".join(words(6, i)), f"s{i:05}") for i in range(2000) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(d).collect()
+    check_mix([(i, 6, s) for i, _, s in rows], got, 1)
+    assert abs(sum(r.taken for r in got) - 24000) <= 1000
+
+
+def test_mixing_of_equal_rows_and_rows_without_id(spark):
+    r = random.Random(4)
+    rows = [(None, " ".join(words(r.randrange(1, 40), i)), None) for i in range(300)] + [(5, "a b c d", "x")] * 400 + [(6, None, "x"), (6, "", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_sources(d).collect()
+    by = defaultdict(int)
+    for x in got:
+        by[x.source_size] += x.taken
+        assert 0 <= x.taken <= 3 * x.size
+    assert len(got) == len(rows) and all(abs(n - x.target) <= 32 for x in got for n in [by[x.source_size]] if x.source_size)
+    out = mixing.mix_documents(d).collect()
+    assert sum(x.doc_id == 6 for x in out) == 2 and {sum(x.doc_id == 5 for x in out) % 400} == {0}
+
+
+def test_blocks_of_a_shard(spark):
+    """Every count of words that a shard can be asked for is taken, in whole blocks but for one."""
+    cases = [(w, left, b, u) for w in (1, 5, 12, 13, 40) for left in range(0, w, 3) for b in (1, 4, 7) for u in (0, 3, 11)]
+    d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, w long, l long, b long, u long")
+    made = F.transform(F.sequence(F.lit(0).cast("long"), F.col("w")), lambda x: mixing.taken_before(x, F.col("w"), F.col("l"), F.col("b"), F.col("u")))
+    for r in d.select("i", made.alias("f")).collect():
+        w, left, b, _ = cases[r.i]
+        steps = [y - x for x, y in zip(r.f, r.f[1:])]
+        assert r.f[0] == 0 and r.f[-1] == left and set(steps) <= {0, 1}
+        blocks = [sum(steps[k : k + b]) for k in range(0, w, b)]
+        assert sum(0 < n < min(b, w - k * b) for k, n in enumerate(blocks)) <= 1
 
 
 @pytest.mark.parametrize("window,gram", [(50, 20), (6, 3)])
