@@ -1,9 +1,10 @@
 """Packing token sequences: Karmarkar-Karp multiway differencing of document tails into windows.
 
 A document's ids are cut every `size` ids; full pieces are sequences of their own. What is left at
-its end is cut every `piece` ids, as finer pieces balance better, and up to `group` pieces or so
-are dealt to windows together by differencing: each piece starts as a partial
-partition of its own, and the two partial partitions with the widest gaps between their fullest and
+its end is cut every `piece` ids, as finer pieces balance better. Texts are tokenized where they are read;
+only the pieces' rows are shuffled, into groups of about `group` by a hash of what they are. So the sequences
+follow from the documents alone, however the input is split, and all groups are large enough to fill their
+windows. A group's tails are dealt to windows by differencing: each piece starts as a partial partition of its own, and the two partial partitions with the widest gaps between their fullest and
 emptiest window are merged, fullest onto emptiest, until one is left. It starts from the fewest
 windows that could hold the pieces; while any window is over capacity the count rises by one.
 """
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinescribe.llm.common import shared_table
+
 SIZE = 2048
 SPECIAL = "<|endoftext|>"
 
@@ -90,35 +93,24 @@ def tokenizer(name: str) -> Callable[[list[str]], list[np.ndarray]]:
     return encode
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+SCHEMA = PIECES + ", sequence_id long, offset long"
 
 
-def _pack_partition(name: str, size: int, piece: int, group: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(x.split()[0], pa.int64()) for x in ddl.split(", ")])
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_arrow(ddl))
+
 
+def _cut(name: str, size: int, piece: int):
+    """Rows (doc_id, text) to the pieces of each text."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(name)
-        serial = TaskContext.get().partitionId() << 40
         rows: list[tuple] = []
-        tails: list[tuple] = []
-
-        def close() -> None:
-            nonlocal serial, tails
-            for window in pack([t[2] for t in tails], size) if tails else []:
-                at = 0
-                for i in sorted(window):
-                    doc, start, length, crc, total = tails[i]
-                    rows.append((doc, start, length, crc, total, serial, at))
-                    at += length
-                serial += 1
-            tails = []
-
-        def out() -> pa.RecordBatch:
-            nonlocal rows
-            columns, rows = list(zip(*rows)), []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
-
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
@@ -126,28 +118,63 @@ def _pack_partition(name: str, size: int, piece: int, group: int):
                     ids = np.append(ids, np.uint32(1)).astype("<u4")
                     n = len(ids)
                     whole = n - n % size
-                    for start in range(0, whole, size):
-                        rows.append((doc, start, size, zlib.crc32(ids[start : start + size]), n, serial, 0))
-                        serial += 1
-                    for start in range(whole, n, piece):
-                        cut = ids[start : start + piece]
-                        tails.append((doc, start, len(cut), zlib.crc32(cut), n))
-                    if len(tails) >= group:
-                        close()
-            if len(rows) >= 4096:
-                yield out()
-        close()
+                    for start in [*range(0, whole, size), *range(whole, n, piece)]:
+                        cut = ids[start : min(n, start + (size if start < whole else piece))]
+                        rows.append((doc, start, len(cut), zlib.crc32(cut), n))
+                if len(rows) >= 4096:
+                    yield _batch(rows, PIECES)
+                    rows = []
         if rows:
-            yield out()
+            yield _batch(rows, PIECES)
+
+    return run
+
+
+def _deal(size: int):
+    """Rows (group, piece), in the order of groups, to pieces with their places. A group is held at a time."""
+
+    def places(group: int, rows: list[tuple]) -> list[tuple]:
+        full = [r for r in rows if r[2] == size]
+        tails = [r for r in rows if r[2] < size]
+        windows = [[r] for r in full] + [[tails[i] for i in sorted(w)] for w in (pack([r[2] for r in tails], size) if tails else [])]
+        out = []
+        for k, window in enumerate(windows):
+            at = 0
+            for r in window:
+                out.append((*r, (group << 32) + k, at))
+                at += r[2]
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for key, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != group and held:
+                    yield _batch(places(group, held), SCHEMA)
+                    held = []
+                group = key
+                held.append(tuple(row))
+        if held:
+            yield _batch(places(group, held), SCHEMA)
 
     return run
 
 
-def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZE, piece: int = 512, group: int = 1024) -> DataFrame:
+def pack_documents(docs: DataFrame, name: str = "byte_bpe_50k.json", size: int = SIZE, piece: int = 512, group: int = 4096) -> DataFrame:
     """One row for each piece of a document: where it lies in the document and in which sequence.
 
-    Each partition packs its own documents in one pass, so nothing is shuffled, and sequence ids
-    begin with the partition's number; a task that runs again gives the same set of sequences for
-    the rows it reads. A null or empty text is the final id alone. Repeated rows are packed each.
+    sequence_id is the group's number * 2**32 plus the sequence's in its group; reruns and other splits of the
+    input give the same. A null or empty text is the final id alone. Repeated rows are packed each: equal pieces
+    are counted first and then spread over groups, so that repeats of one row can't fill one. Rows without
+    doc_id are packed too, with a null doc_id. A very long text is tokenized in one task, its pieces are spread.
+    An empty table gives an empty result; other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_pack_partition(name, size, piece, group), SCHEMA)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    pieces = shared_table(source.mapInArrow(_cut(name, size, piece), PIECES), "pieces")
+    groups = F.lit(max(1, pieces.count() // group)).cast("long")
+    fields = [x.split()[0] for x in PIECES.split(", ")]
+    each = pieces.groupBy(*fields).agg(F.count("*").alias("m")).select(*fields, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("copy"))
+    # 64 copies go to a group together
+    at = F.pmod(F.xxhash64(*fields[:4]) + F.floor(F.col("copy") / 64).cast("int") * F.lit(7919), groups)
+    dealt = each.select(at.alias("group"), *fields).repartition("group").sortWithinPartitions("group", *fields)
+    return dealt.mapInArrow(_deal(size), SCHEMA)

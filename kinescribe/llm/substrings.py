@@ -7,10 +7,10 @@ an anchor in one document only is dropped.
 
 Extension: occurrences whose whole run of windows (from 30 words before the anchor to 30 after it, as
 far as its windows reach) is equal form a class. In a class, all documents but the least repeat the whole
-run. Where an anchor has several classes, each class is extended from the anchor word by word: every
-window of its run is looked up among the other classes' windows, which tells how far the least document's
-text agrees with a smaller document to the left and to the right. The matched windows of a document,
-merged, are its maximal repeats of at least 50 words.
+run. Where an anchor has several classes, each class is extended from the anchor both ways, word by word, but
+against all other classes at once instead of pair by pair: a step of the extension is a window that holds the
+anchor, and it goes on as long as a smaller document has the same anchor and window. The matched windows of a
+document, merged, are its maximal repeats of at least 50 words.
 
 Work and rows follow the text and the number of different contexts of an anchor, never the number of pairs.
 """
@@ -80,15 +80,15 @@ def _seed(window: int, gram: int):
             )
             whole = [hashlib.sha256(b" ".join(data[a:b].tobytes().split())).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bound), pa.int64()), pa.array(whole), pa.ListArray.from_arrays(pa.array(cut), lists)],
-                names=["doc_id", "n_words", "sha256", "seeds"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bound), pa.int64()), pa.array(whole), pa.ListArray.from_arrays(pa.array(cut), lists)],
+                names=["doc_id", "key", "n_words", "sha256", "seeds"],
             )
 
     return run
 
 
 def _extend(window: int):
-    """Rows (doc_id, text, runs) to the window hashes of each run."""
+    """Rows (doc_id, text, runs) to the windows of each run, as a walk from the anchor to both ends meets them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,8 +101,6 @@ def _extend(window: int):
                     which = np.repeat(np.arange(len(runs)), size)
                     step = np.arange(len(which)) - np.repeat(np.add.accumulate(size) - size, size)
                     start = first[which] + step
-                    fits = start + window <= len(words)
-                    which, step, start = which[fits], step[fits], start[fits]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(range_hashes(words, start, start + window).view(np.int64)), pa.array(np.full(len(start), doc, np.int64)),
                          *[pa.array(np.array([r[x] for r in runs], np.int64)[which]) for x in ("anchor", "run")], pa.array(step.astype(np.int32))],
@@ -138,47 +136,54 @@ def _remove(window: int):
     return run
 
 
+def _source(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text) and the text: rows of one doc_id with different texts stay apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), text_column().alias("__bytes"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans): each document's word count and digest, and the spans of window starts
-    (doc_id, from, to, both ends in) whose windows also start in a document with a smaller doc_id."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("__bytes"))
-    schema = "doc_id long, n_words long, sha256 string, seeds array<struct<anchor:long,run:long,first:int,last:int>>"
-    seeded = shared_table(source.mapInArrow(_seed(window, gram), schema), "seeded")
-    each = seeded.where("doc_id is not null").select("doc_id", F.explode("seeds").alias("s")).select("doc_id", "s.*")
-
-    classes = each.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "first", "last")).alias("at"))
+    """(documents, spans): each row's doc_id, key, word count and digest, and the spans of window starts (doc_id,
+    key, from, to, both ends in) whose windows also start in a document with a smaller doc_id.
+
+    Windows are equal if the hashes of their anchor and of all their words are: 128 bits."""
+    schema = "doc_id long, key long, n_words long, sha256 string, seeds array<struct<anchor:long,run:long,first:int,last:int>>"
+    seeded = shared_table(_source(docs).mapInArrow(_seed(window, gram), schema), "seeded")
+    each = seeded.where("doc_id is not null").select("doc_id", "key", F.explode("seeds").alias("s")).select("doc_id", "key", "s.*")
+
+    classes = each.groupBy("anchor", "run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "key", "first", "last")).alias("at"))
     anchors = classes.groupBy("anchor").agg(F.count("*").alias("classes"), F.min("least").alias("low"), F.max("most").alias("high"))
     shared = shared_table(classes.join(anchors.where("low < high").select("anchor", "classes"), "anchor").select("anchor", "run", "least", "most", "classes", "at"), "classes")
 
-    several = shared.where("classes > 1").select("anchor", "run", F.col("least").alias("doc_id"), "at.first", "at.last")
-    runs = several.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run", "first", "last")).alias("runs"))
+    several = shared.where("classes > 1").select("anchor", "run", F.col("least").alias("doc_id"), "at.key", "at.first", "at.last")
+    runs = several.groupBy("doc_id", "key").agg(F.collect_list(F.struct("anchor", "run", "first", "last")).alias("runs"))
     runs = shared_table(runs, "runs")
-    texts = only_ids(source, runs.select("doc_id")).join(runs, "doc_id").select("doc_id", "__bytes", "runs")
-    # a doc_id may stand for several texts: those that lack a run give windows of their own, which are theirs as well
+    # one row for each text of a doc_id, however often it is repeated
+    texts = only_ids(_source(docs), runs.select("doc_id")).join(runs, ["doc_id", "key"]).select("doc_id", "__bytes", "runs")
     windows = shared_table(texts.mapInArrow(_extend(window), "window long, least long, anchor long, run long, step int"), "windows")
-    low = windows.groupBy("window").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
-    matched = windows.join(low.select("window", "low"), "window").where("low < least").groupBy("anchor", "run").agg(F.sort_array(F.collect_set("step")).alias("steps"))
+    low = windows.groupBy("anchor", "window").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high")
+    matched = windows.join(low.select("anchor", "window", "low"), ["anchor", "window"]).where("low < least").groupBy("anchor", "run").agg(F.sort_array(F.collect_set("step")).alias("steps"))
 
     # runs that other documents of the class repeat whole, and what the class's least document repeats of smaller ones
     info = shared.select("anchor", "run", "least", "most").join(matched, ["anchor", "run"], "left").where((F.col("least") < F.col("most")) | F.col("steps").isNotNull())
     # written, so that both sides of the join come by plain exchanges: then the runtime can split a frequent key
     hit = each.join(shared_table(info, "info"), ["anchor", "run"])
-    whole = hit.where("doc_id > least").select("doc_id", F.col("first").alias("from"), F.col("last").alias("to"))
-    part = hit.where("doc_id = least and steps is not null").select("doc_id", "first", F.explode("steps").alias("step")).select("doc_id", (F.col("first") + F.col("step")).alias("from"), (F.col("first") + F.col("step")).alias("to"))
-    return seeded.select("doc_id", "n_words", "sha256"), whole.union(part)
+    whole = hit.where("doc_id > least").select("doc_id", "key", F.col("first").alias("from"), F.col("last").alias("to"))
+    part = hit.where("doc_id = least and steps is not null").select("doc_id", "key", "first", F.explode("steps").alias("step")).select("doc_id", "key", (F.col("first") + F.col("step")).alias("from"), (F.col("first") + F.col("step")).alias("to"))
+    return seeded.select("doc_id", "key", "n_words", "sha256"), whole.union(part)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 (and kept_text for those changed, if asked).
 
     Every word in a window of `window` words that also starts in a document with a smaller doc_id goes;
-    windows are judged on the input. A null text has no words. Rows with one doc_id are one document of
-    several rows when looked up, and are each returned; rows without doc_id are kept whole and lend nothing.
+    windows are judged on the input. A null or empty text has no words. Rows with one doc_id are the same document
+    to others and never repeat each other; each is judged by its own text and returned. Rows without doc_id are
+    kept whole and lend nothing. Memory follows the longest text; other columns are not read.
     """
     stats, spans = repeated_spans(docs, window, gram)
-    spans = shared_table(spans.groupBy("doc_id").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("__bytes"))
-    changed = only_ids(source, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "__bytes", "spans").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    same = stats.join(spans.select("doc_id"), "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
+    # repeats of one row give the same spans
+    spans = shared_table(spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("from", "to")).alias("spans")), "spans")
+    changed = only_ids(_source(docs), spans.select("doc_id")).join(spans, ["doc_id", "key"]).select("doc_id", "__bytes", "spans").mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    same = stats.join(spans.select("doc_id", "key"), ["doc_id", "key"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
     out = same.union(changed)
     return out if with_text else out.drop("kept_text")

@@ -285,6 +285,14 @@ def test_repeated_passages(docs, none, window, gram):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_repeated_passages_of_one_id(spark):
+    """Two texts with one doc_id: only the one with the passage loses it."""
+    passage, own = words(60, 1), [f"u{i}" for i in range(80)]
+    rows = [(1, " ".join(passage)), (5, " ".join(passage)), (5, " ".join(own)), (5, " ".join(passage)), (5, " ".join(own)), (7, " ".join(own[:70]))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 60, 0), (5, 60, 60), (5, 60, 60), (5, 80, 0), (5, 80, 0), (7, 70, 70)]
+
+
 def brute_secrets(text):
     base = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -398,6 +406,19 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_follows_the_documents_alone(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join(words(r.choice([3, 40, 300, 900]), i))) for i in range(700)] + [(7, "one row many times")] * 900 + [(None, "a b"), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    results = [Counter(map(tuple, packing.pack_documents(d.repartition(n), group=1024).collect())) for n in (1, 40)]
+    assert results[0] == results[1]
+    assert sum(n for x, n in results[0].items() if x[0] is None) == 2
+    used = defaultdict(int)
+    for x in packing.pack_documents(d).collect():
+        used[x[5]] += x[2]
+    assert max(used.values()) <= 2048 and sum(used.values()) / (2048 * len(used)) > 0.98
+
+
 def test_differencing():
     assert sorted(sum(w) for w in [[[8, 7, 6, 5, 4][i] for i in w] for w in packing.differencing([8, 7, 6, 5, 4], 2)]) == [14, 16]
     r = random.Random(6)
