@@ -125,7 +125,7 @@ c AS (SELECT doc_id, hit, stop - length(hit) AS head, CASE WHEN regexp_matches(h
     AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')),
 w AS (SELECT doc_id, kind, head, hit, unnest(range(length(hit) - 19)) AS i FROM c),
 e AS (SELECT doc_id, kind, head + min(i) AS a, head + max(i) + 20 AS z FROM w
-  WHERE list_entropy(string_split(hit[i + 1:i + 20], '')) + 1e-9 >= CASE kind WHEN 3 THEN 3.0 WHEN 4 THEN 3.7 ELSE 3.9 END GROUP BY doc_id, kind, head),
+  WHERE list_entropy(string_split(hit[i + 1:i + 20], '')) + 1e-9 >= CASE kind WHEN 3 THEN 2.9 WHEN 4 THEN 3.35 ELSE 3.6 END GROUP BY doc_id, kind, head),
 x AS (SELECT *, true AS base FROM base UNION ALL SELECT *, false FROM e),
 n AS (SELECT *, ['assign', 'access', 'hex', 'entropy_hex', 'entropy_alnum', 'entropy_base64'][kind + 1] || ':' || a || ':' || z AS line FROM x),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

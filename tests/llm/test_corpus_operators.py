@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from kinescribe.llm import audio, chat, licenses, lz, mixing, neardup, packing, quality, secrets, substrings
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, size int, node long, c string, keys string, start int, least long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, size int, node long, c string, keys string, start int, least long, secret_base string, secret_spans string, `__secret_base` string, `__mix_copy` int, `__quality_key` string, `__bytes` int, key string, turn int"
+EXTRA = ("b", 1, 2, "c", "k", 3, 4, "own", "own", "own", 5, "own", 6, "own", 7)
 
 
 def words(n, seed, vocabulary=400):
@@ -37,7 +38,7 @@ def odd_texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, "en", [None, "a", "b", "é"][i % 4], len(t or ""), "b", 1, 2, "c", "k", 3, 4) for i, t in odd_texts()]
+    rows = [(i, t, "en", [None, "a", "b", "é"][i % 4], len(t or ""), *EXTRA) for i, t in odd_texts()]
     return spark.createDataFrame(rows + [rows[2], rows[4]], SCHEMA).repartition(3)
 
 
@@ -330,6 +331,18 @@ def test_secrets(docs, none):
                 continue
             out, at = out + text[at:a] + "[SECRET]", b
         assert (r.text or "") == out + text[at:] and r.n_chars == len(out + text[at:])
+        assert tuple(r)[5:] == EXTRA
+    with pytest.raises(ValueError):
+        secrets.secret_spans(docs)
+
+
+def test_random_secrets_of_one_window(spark):
+    """Of random strings just as long as the window nearly all are found, whatever their class."""
+    r = random.Random(6)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rows = [(k, "".join(r.choice(a) for _ in range(19)) + d) for k, (a, d) in enumerate(((lower + digits, "7"), (lower + upper + digits, "7"), (lower + upper + digits + "+/", "7"), (digits + "ABCDEF", "A"))) for _ in range(300)]
+    got = secrets.scan(spark.createDataFrame([(k, "x: " + t + " y") for k, t in rows], "doc_id long, text string")).where("spans = ''").groupBy("doc_id").count().collect()
+    assert all(x["count"] <= 12 for x in got)
 
 
 def test_chat_round_trip(spark):
