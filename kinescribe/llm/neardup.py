@@ -3,12 +3,13 @@
 Documents are sets of word shingles. Equal sets become one class before anything else, so thousands
 of copies cost one row. Each class gets a SuperMinHash signature (Ertl, 2017), cut into bands; classes
 that share a band form a bucket. A bucket is compared with its least member only (a star, not all
-pairs), links are confirmed on the full sets, and union-find groups them. Then, in buckets whose
-members lie in more than one group, every member outside the main group is compared with all members
-of other groups, so that no link between candidates is missed: pair by pair in small buckets, in blocks
-of full sets in large ones.
+pairs), links are confirmed on the full sets, and union-find groups them. Then, in buckets of three or more
+whose members lie in more than one group, every member outside the main group is compared with all members
+of other groups, so that no link between candidates is missed: in blocks of full sets, of a bounded number and
+size, that return no more than the links which connect groups. Buckets with the same members are compared once.
 
-With 32 bands of 5 values, a pair of similarity 0.8 shares no band with a probability of 3e-6.
+With 32 bands of 5 values, a pair of similarity 0.8 shares no band with a probability of 3e-6. Links follow
+from the buckets alone: there is one path for buckets of all sizes.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinescribe.llm.common import only_ids, pieces, shared_table, text_column
+from kinescribe.llm.common import fresh, only_ids, pieces, shared_table, text_column
 from kinescribe.llm.hashing import U, gram_hashes, mix, word_hashes
 
 BANDS, ROWS = 32, 5
-#: Members of a bucket up to which pairs are listed, and sets in a block of the comparison beyond.
-SMALL, BLOCK = 64, 256
+#: Sets and shingles in a block of the comparison between groups, on average.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
+#: Bytes of text that are signed at a time.
+PIECE = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,13 +108,13 @@ def _digest(members: bytes) -> bytes:
 
 def _sign(k: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in pieces(batches, "__bytes"):
+        for batch, data, at in pieces(batches, "__bytes", PIECE):
             value, bound = shingle_sets(data, at, k)
             keys = band_keys(superminhash(value, bound, bands * rows), bands, rows)
             sets = [_digest(value[a:b].tobytes()) for a, b in zip(bound[:-1], bound[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bound), pa.int64()), pa.array(sets, pa.binary()), _lists(keys.ravel(), bands)],
-                names=["doc_id", "n_shingles", "set_key", "keys"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bound), pa.int64()), pa.array(sets, pa.binary()), _lists(keys.ravel(), bands)],
+                names=["doc_id", "key", "n_shingles", "set_key", "keys"],
             )
 
     return run
@@ -119,12 +122,10 @@ def _sign(k: int, bands: int, rows: int):
 
 def _full_sets(k: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, at in pieces(batches, "__bytes"):
+        for batch, data, at in pieces(batches, "__bytes", PIECE):
             value, bound = shingle_sets(data, at, k)
             sets = [value[a:b].tobytes() for a, b in zip(bound[:-1], bound[1:])]
-            # a doc_id may stand for several texts; only the one that has the asked set counts
-            same = [_digest(x) == y for x, y in zip(sets, batch.column("set_key").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], names=["set_key", "members"]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("set_key"), pa.array(sets, pa.binary())], names=["set_key", "members"])
 
     return run
 
@@ -149,9 +150,9 @@ def _confirm(percent: int):
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over a partition's links; a link from each node to the least of its tree."""
-    up: dict[int, int] = {}
+    up: dict[bytes, bytes] = {}
 
-    def root(x: int) -> int:
+    def root(x: bytes) -> bytes:
         while (y := up.setdefault(x, x)) != x:
             up[x] = up[y]
             x = up[x]
@@ -163,18 +164,18 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if a != b:
                 up[max(a, b)] = min(a, b)
     links = [(x, root(x)) for x in up if root(x) != x]
-    if links:
-        a, b = zip(*links)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    for at in range(0, len(links), 1 << 16):
+        a, b = zip(*links[at : at + (1 << 16)])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of the links (a, b): the least node that can be reached.
+    """(node, component) for every node of the links (a, b: binary): the least node that can be reached.
 
     Union-find runs inside each partition, which leaves at most one link a node and partition. Then
     every node takes the least label around it, and the label's own label, until none changes. Labels
     are written to the shared folder in each round; only a count comes to the driver."""
-    forest = shared_table(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "forest")
+    forest = shared_table(links.select("a", "b").mapInArrow(_forest, "a binary, b binary"), "forest")
     if forest.isEmpty():
         return forest.select(F.col("a").alias("node"), F.col("b").alias("component"))
     both = forest.union(forest.select("b", "a"))
@@ -189,20 +190,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links lead to, its own
-    included), kept (doc_id is component_id). Two documents are linked if 100 * common shingles are at
-    least percent * all their shingles.
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), text_column().alias("__bytes"))
 
-    Null and empty texts, and texts without words, have no shingles and link with nothing. Rows with
-    the same doc_id are each returned. A row without doc_id is its own component, with a null
-    component_id, and is kept; it links nothing. Other columns of docs are not used.
-    """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("__bytes"))
-    signed = shared_table(source.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n_shingles long, set_key binary, keys array<long>"), "signed")
+
+def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """One row a document: doc_id, key (a hash of its text), n_shingles, group and component_id (the least doc_id of
+    the group). group is null for rows without shingles or doc_id."""
+    signed = shared_table(_source(docs).mapInArrow(_sign(shingle, bands, rows), "doc_id long, key long, n_shingles long, set_key binary, keys array<long>"), "signed")
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = shared_table(classes, "classes")
+    classes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = shared_table(classes.select("set_key", F.col("at.doc_id").alias("id"), "at.key", "n", "keys"), "classes")
 
     member = classes.select("set_key", "id", "n", F.explode("keys").alias("bucket"))
     many = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "set_key", "n")).alias("first")).where("size > 1")
@@ -210,41 +208,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     star = (
         member.join(many.select("bucket", "first"), "bucket")
         .where((F.col("set_key") != F.col("first.set_key")) & fits(F.col("n"), F.col("first.n")))
-        .select(F.col("first.id").alias("a"), F.col("first.set_key").alias("key_a"), F.col("id").alias("b"), F.col("set_key").alias("key_b"))
+        .select(F.col("first.set_key").alias("a"), F.col("set_key").alias("b"))
         .distinct()
     )
     star = shared_table(star, "star")
     links = shared_table(_confirmed(docs, classes, star, shingle, percent), "links")
     group = components(links)
 
-    # members of buckets that lie in several groups
-    placed = member.join(group, F.col("id") == F.col("node"), "left").select("bucket", "set_key", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.min("id").alias("head"))
-    mixed = mixed.groupBy("bucket").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("groups"), F.sum("k").alias("size"), F.min("head").alias("head")).where("groups > 1")
-    placed = shared_table(placed.join(mixed.select("bucket", "main", "size", "head"), "bucket"), "placed")
-    small, large = placed.where(F.col("size") <= SMALL), placed.where(F.col("size") > SMALL)
-    late = []
-    if not small.isEmpty():
-        late.append(_small_buckets(docs, classes, small, star, shingle, percent))
-    if not large.isEmpty():
-        late.append(_large_buckets(docs, classes, large, shingle, percent))
-    # each is written before it is joined to the rest, and without any late link the groups stand
-    late = [found for found in (shared_table(x, "links") for x in late) if not found.isEmpty()]
-    for found in late:
-        links = links.union(found)
-    if late:
-        group = components(links)
-
-    by_class = classes.join(group, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(by_class, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = member.join(group, F.col("set_key") == F.col("node"), "left").select("bucket", "set_key", "n", F.coalesce("component", "set_key").alias("c"))
+    late = _between_groups(docs, classes, placed, shingle, percent)
+    # without any late link the groups stand
+    if late is not None:
+        late = shared_table(late, "links")
+        if not late.isEmpty():
+            group = components(links.union(late))
+
+    by_class = classes.join(group, F.col("set_key") == F.col("node"), "left").select("set_key", "id", F.coalesce("component", "set_key").alias("group"))
+    least = by_class.groupBy("group").agg(F.min("id").alias("least"))
+    by_class = by_class.join(least, "group").select("set_key", "group", "least")
+    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
+    out = signed.select("doc_id", "key", "n_shingles", own.alias("set_key")).join(by_class, "set_key", "left")
+    return out.select("doc_id", "key", "n_shingles", "group", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links lead to, its own
+    included), kept (doc_id is component_id). Two documents are linked if 100 * common shingles are at
+    least percent * all their shingles.
+
+    Null and empty texts, and texts without words, have no shingles and link with nothing. Each row is judged
+    by its own text: rows of one doc_id with different texts are not linked by that, and repeated rows get the
+    same. A row without doc_id is its own component, with a null component_id, and is kept; it links nothing.
+    Memory follows the longest text. Other columns of docs are not used.
+    """
+    out = _grouped(docs, shingle, percent, bands, rows).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates, with their columns: of each group the row with the least doc_id
+    (of several texts with that id, the one with the least hash) stays, once. Rows that are repeated whole, in
+    doc_id and text, stay once as well. Rows without doc_id all stay."""
+    rows = _grouped(docs, shingle, percent, BANDS, ROWS).where("doc_id is not null")
+    each = shared_table(rows.groupBy("doc_id", "key", "group").agg(F.count("*").alias("m")), "rows")
+    first = each.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    judged = each.join(first, "group", "left").withColumn("stays", F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.key") == F.col("key")), F.lit(True)))
+    judged = shared_table(judged.select("doc_id", "key", "m", "stays"), "judged")
+
+    key, name = fresh(docs, "near_key"), fresh(docs, "near_id")
+    keyed = docs.withColumns({key: F.xxhash64(F.coalesce("text", F.lit(""))), name: F.col("doc_id").cast("long")})
+    listed = lambda df: df.select(F.col("doc_id").alias(name), F.col("key").alias(key))
+    several = judged.where("stays and m > 1")
+    out = keyed.join(listed(judged.where("not stays or m > 1")), [name, key], "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return out
+    # map tasks merge repeats before anything moves
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    one = keyed.join(listed(several), [name, key], "left_semi").groupBy(name, key).agg(F.min_by(whole, F.xxhash64(whole)).alias("row"))
+    return out.unionByName(one.select("row.*"))
 
 
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
     """(set_key, members) of the classes named by keys. Only their texts are read into the join."""
-    wanted = keys.distinct().join(classes.select("set_key", F.col("id").alias("doc_id")), "set_key")
-    texts = only_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("doc_id"))
-    sets = texts.join(wanted, "doc_id").select("set_key", text_column().alias("__bytes")).mapInArrow(_full_sets(shingle), "set_key binary, members binary")
+    wanted = shared_table(keys.distinct().join(classes.select("set_key", F.col("id").alias("doc_id"), "key"), "set_key"), "wanted")
+    texts = only_ids(_source(docs), wanted.select("doc_id")).join(wanted, ["doc_id", "key"])
+    sets = texts.select("set_key", "__bytes").mapInArrow(_full_sets(shingle), "set_key binary, members binary")
     return shared_table(sets.dropDuplicates(["set_key"]), "sets")
 
 
@@ -252,49 +280,28 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
     """The links among pairs (a written table), on full sets."""
     if pairs.isEmpty():
         return pairs.select("a", "b")
-    sets = _sets(docs, classes, pairs.select(F.col("key_a").alias("set_key")).union(pairs.select("key_b")), shingle)
-    side = lambda x: sets.select(F.col("set_key").alias("key_" + x), F.col("members").alias("members_" + x))
-    return pairs.join(side("a"), "key_a").join(side("b"), "key_b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
-
-
-def _small_buckets(docs: DataFrame, classes: DataFrame, placed: DataFrame, star: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between groups in buckets of at most SMALL members: pairs of a member outside the bucket's main
-    group with a member of another group."""
-    left = placed.where("c != main").select("bucket", *[F.col(x).alias(x + "_a") for x in ("set_key", "id", "n", "c")])
-    right = placed.select("bucket", "main", *[F.col(x).alias(x + "_b") for x in ("set_key", "id", "n", "c")])
-    once = (F.col("c_b") == F.col("main")) | (F.col("id_a") < F.col("id_b"))
-    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    first = F.col("id_a") < F.col("id_b")
-    rest = (
-        left.join(right, "bucket")
-        .where((F.col("c_a") != F.col("c_b")) & once & near)
-        .select(
-            F.least("id_a", "id_b").alias("a"), F.when(first, F.col("set_key_a")).otherwise(F.col("set_key_b")).alias("key_a"),
-            F.greatest("id_a", "id_b").alias("b"), F.when(first, F.col("set_key_b")).otherwise(F.col("set_key_a")).alias("key_b"),
-        )
-        .distinct()
-        .join(star.select("key_a", "key_b"), ["key_a", "key_b"], "left_anti")
-    )
-    return _confirmed(docs, classes, shared_table(rest, "rest"), shingle, percent)
-
-
-def _large_buckets(docs: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between groups in larger buckets, without a row for each pair.
-
-    Buckets that share members form a cluster. A cluster's members outside its main group are compared
-    with all its members, in blocks of about BLOCK sets; a task has two blocks, counts common shingles
-    through one sorted list, and returns no more than the links that connect groups."""
-    edges = placed.select(F.col("id").alias("a"), F.col("head").alias("b")).where("a != b").distinct()
-    cluster = components(edges)
-    doc = placed.select("id", "set_key", "c").distinct().join(cluster, F.col("id") == F.col("node")).select("id", "set_key", "c", F.col("component").alias("cluster"))
-    doc = shared_table(doc, "clustered")
-    sizes = doc.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("all"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = sizes.select("cluster", F.col("top.c").alias("main"), blocks(F.col("top.k")).alias("mains"), blocks(F.col("all") - F.col("top.k")).alias("others"))
-    doc = doc.join(sizes, "cluster")
+    sets = _sets(docs, classes, pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")), shingle)
+    side = lambda x: sets.select(F.col("set_key").alias(x), F.col("members").alias("members_" + x))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a binary, b binary")
+
+
+def _between_groups(docs: DataFrame, classes: DataFrame, placed: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+    """Links between groups, from members (bucket, set_key, n, c: group) of buckets that lie in several; None if there
+    is no such bucket. In a bucket of two the star has compared the pair.
+
+    A bucket's members outside its main group are dealt into blocks, those of the main group into others. Each two
+    blocks of which one is outside the main group meet in a task's hands, one such meeting at a time."""
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_SHINGLES)).cast("int")
+    groups = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"), F.sum("n").alias("w"), F.bit_xor(F.xxhash64("set_key")).alias("who"), F.min("set_key").alias("head"))
+    mixed = groups.groupBy("bucket").agg(F.max(F.struct("k", "c", "w")).alias("top"), F.count("*").alias("groups"), F.sum("k").alias("size"), F.sum("w").alias("w"), F.bit_xor("who").alias("who"), F.min("head").alias("head"))
+    mixed = mixed.where("groups > 1 and size > 2").groupBy("who", "head", "size").agg(F.min(F.struct("bucket", "top", "w")).alias("b"))
+    mixed = mixed.select("b.bucket", F.col("b.top.c").alias("main"), blocks(F.col("b.top.k"), F.col("b.top.w")).alias("mains"), blocks(F.col("size") - F.col("b.top.k"), F.col("b.w") - F.col("b.top.w")).alias("others"))
+    doc = shared_table(placed.join(mixed, "bucket"), "placed")
+    if doc.isEmpty():
+        return None
     other = F.col("c") != F.col("main")
-    own = F.pmod(F.xxhash64("id"), F.when(other, F.col("others")).otherwise(F.col("mains"))).cast("int")
-    doc = doc.withColumn("block", F.when(other, own).otherwise(-1 - own)).withColumn("other", other).where("others > 0")
+    own = F.pmod(F.xxhash64("set_key"), F.when(other, F.col("others")).otherwise(F.col("mains"))).cast("int")
+    doc = doc.withColumn("block", F.when(other, own).otherwise(-1 - own))
     every = F.sequence(F.lit(0), F.col("others") - 1)
     meet = F.when(
         other,
@@ -304,36 +311,70 @@ def _large_buckets(docs: DataFrame, classes: DataFrame, placed: DataFrame, shing
         ),
     ).otherwise(F.transform(every, lambda o: F.struct(F.col("block").alias("x"), o.alias("y"))))
     doc = doc.join(_sets(docs, classes, doc.select("set_key"), shingle), "set_key")
-    task = doc.select("cluster", "id", "c", "other", "members", F.explode(meet).alias("at")).select("cluster", "at.x", "at.y", "id", "c", "other", "members")
-    return task.groupBy("cluster", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+    task = doc.select("bucket", "set_key", "c", "block", "members", F.explode(meet).alias("at")).select("bucket", "at.x", "at.y", "set_key", "c", "block", "members")
+    return task.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y").mapInArrow(_compare(percent), "a binary, b binary")
 
 
 def _compare(percent: int):
-    def run(group: pa.Table) -> pa.Table:
-        ids, c, other = (group.column(x).to_numpy() for x in ("id", "c", "other"))
-        sets = [np.frombuffer(x, U) for x in group.column("members").to_pylist()]
-        size = np.array([len(x) for x in sets], np.int64)
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    """Rows in the order of meetings (bucket, x, y) to links between groups; common shingles are counted through one
+    sorted list of the block x for each set of the block y."""
+
+    def links(table: pa.Table, x: int, y: int) -> list[tuple[bytes, bytes]]:
+        names, groups = table.column("set_key").to_pylist(), table.column("c").to_pylist()
+        block = table.column("block").to_numpy()
+        code: dict[bytes, int] = {}
+        c = np.array([code.setdefault(g, len(code)) for g in groups])
+        if len(code) < 2:
+            return []
+        sets = [np.frombuffer(m, U) for m in table.column("members").to_pylist()]
+        near, far = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        if not len(near) or not len(far):
+            return []
+        size = np.array([len(sets[j]) for j in near], np.int64)
+        flat, owner = np.concatenate([sets[j] for j in near]), np.repeat(np.arange(len(near)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        up: dict[int, int] = {}
-        links: list[tuple[int, int]] = []
+        up = list(range(len(code)))
 
-        def root(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                x = y
-            return x
+        def root(i: int) -> int:
+            while up[i] != i:
+                i = up[i]
+            return i
 
-        for i in np.flatnonzero(other).tolist():
+        out = []
+        for i in far.tolist():
             low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
             count = high - low
             at = np.repeat(low - (np.add.accumulate(count) - count), count) + np.arange(int(count.sum()))
-            both = np.bincount(owner[at], minlength=len(sets))
-            for j in np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (c != c[i])).tolist():
-                x, y = root(int(c[i])), root(int(c[j]))
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-                    links.append((int(ids[i]), int(ids[j])))
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            both = np.bincount(owner[at], minlength=len(near))
+            for j in near[(100 * both >= percent * (size + len(sets[i]) - both)) & (c[near] != c[i])].tolist():
+                p, q = root(int(c[i])), root(int(c[j]))
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    out.append((names[i], names[j]))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = links(pa.Table.from_batches(held), key[1], key[2]) if held else []
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(n).to_numpy() for n in ("bucket", "x", "y")])
+            edges = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                now = tuple(at[:, a].tolist())
+                if now != key:
+                    yield from close()
+                    held, key = [], now
+                held.append(batch.slice(a, b - a))
+        yield from close()
 
     return run

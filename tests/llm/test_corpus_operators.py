@@ -96,9 +96,11 @@ def test_near_duplicates(docs, none, shingle):
     assert neardup.near_duplicates(none).count() == 0
 
 
-def test_near_duplicates_in_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+@pytest.mark.parametrize("block,shingles", [(8, 1 << 20), (256, 400), (256, 1 << 20)])
+def test_near_duplicates_in_large_buckets(spark, monkeypatch, block, shingles):
+    """The same groups whatever the blocks; texts differ in so many places that many pairs are not linked."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     r, base = random.Random(5), words(120, 9, 100000)
     rows = []
     for i in range(90):
@@ -112,6 +114,30 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def test_one_of_each_decides_by_row(spark):
+    """A unique text stays, whatever other rows have its doc_id; repeats of a row stay once; no id: all stay."""
+    a, b, c = (" ".join(words(60, k)) for k in (1, 2, 3))
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (5, b, "y"), (6, b + " more", "x"), (7, c, "x"), (7, c, "x"), (8, "", "x"), (8, None, "x"), (9, "", "x"), (None, a, "x"), (None, a, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, near_key string").repartition(3)
+    got = neardup.one_of_each(d)
+    assert got.columns == d.columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(1, a), (5, b), (7, c), (8, ""), (9, ""), (None, a), (None, a)])
+    assert neardup.one_of_each(d.limit(0)).count() == 0
+
+
+def test_recall_of_banding():
+    """Pairs of similarity 0.8 and a little more: all share a band (one in 300,000 may not)."""
+    r = np.random.default_rng(3)
+    sets = []
+    for _ in range(300):
+        both = r.integers(0, 2**63, 240).astype(np.uint64)
+        sets += [np.sort(np.concatenate((both, r.integers(0, 2**63, 29).astype(np.uint64)))) for _ in range(2)]
+    bound = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+    keys = neardup.band_keys(neardup.superminhash(np.concatenate(sets), bound, 160), 32, 5)
+    shared = (keys[::2, :, None] == keys[1::2, None, :]).any(axis=(1, 2))
+    assert shared.all()
+
+
 def test_rows_without_id(spark):
     d = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
     got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d).collect()}
