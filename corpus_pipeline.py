@@ -1,16 +1,17 @@
 """A training corpus from raw documents: five stages, each on all that the one before kept.
 
 1. quality classifier: documents with a score under 0.7 go;
-2. MinHash near-duplicates on five-word shingles at 0.8: the one with the least doc_id of each group stays;
+2. MinHash near-duplicates on five-word shingles at 0.8: the row with the least doc_id of each group stays, once;
 3. secret scans: findings are replaced in the texts;
 4. mixing: sources are brought to their target weights, by whole documents, some more than once;
 5. packing: the pieces of 2048-id sequences.
+
+Each stage decides row by row: null and repeated doc_ids neither lose nor multiply other rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kinescribe.llm import mixing, neardup, packing, quality, secrets
 from kinescribe.llm.common import shared_table, table
@@ -21,9 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = neardup.near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    return neardup.one_of_each(docs, shingle=5, percent=80)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
