@@ -404,15 +404,54 @@ def test_licenses(docs, none, spark):
     assert licenses.license_spans(none).count() == 0
 
 
+def full_common(a, b):
+    """Length of the longest common subsequence, by the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_whole_tables(spark):
+    """Every template, changed in several ways and more than once a text, is found with the coverage that the whole
+    alignment table of the reported span gives; texts of relatives and of scattered words report nothing else."""
+    r = random.Random(7)
+    plain = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    rows, want = [], {}
+    for name, text, telling in licenses.TEMPLATES:
+        w = text.split()
+        cut = next(k for k in range(len(w) // 2, len(w)) if not set(plain(" ".join(w[k - 1 : k + 1]))) & set(plain(telling)) or k == len(w) - 1)
+        versions = [w]
+        if len(w) > 20:
+            versions += [w[:cut] + words(14, len(rows)) + w[cut:], [x for k, x in enumerate(w) if k % 17 != 16 or set(plain(x)) & set(plain(telling))]]
+        for v in versions:
+            rows.append((len(rows), " ".join([*words(30, len(rows)), *v, "ü", *words(20, len(rows) + 1)])))
+            want[rows[-1][0]] = name
+    twice = licenses.TEMPLATES[0][1]
+    rows += [(500, (twice + " and ") * 40), (501, "Licensed under CC BY 5.0."), (502, "This work is licensed under the GNU General Public License, version 4."), (503, "the software of the license and this notice to any person " * 50)]
+    assert len(rows) > 45
+    got = {x.doc_id: x for x in licenses.license_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, text in rows:
+        if i < 500:
+            assert got[i].licenses == want[i], (text, got[i])
+        for span in got[i].spans.split(",") if got[i].spans else ():
+            name, a, b, coverage = span.rsplit(":", 3)
+            held = plain(text[int(a) : int(b)])
+            whole = [full_common(plain(t), held) / len(plain(t)) for n, t, _ in licenses.TEMPLATES if n == name]
+            assert any(math.isclose(float(coverage), x, abs_tol=0.02) for x in whole) and float(coverage) >= 0.8
+    assert got[500].spans.count("MIT") == 40 and got[501].spans == got[502].spans == got[503].spans == ""
+
+
 def test_alignment_against_full_table():
     r = random.Random(4)
     for _ in range(60):
         a, b = [np.array([r.randrange(4) for _ in range(r.randrange(1, 9))], np.uint64) for _ in range(2)]
-        full = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                full[i + 1, j + 1] = max(full[i, j + 1], full[i + 1, j], full[i, j] + (a[i] == b[j]))
-        assert licenses.align(a, b, 0, band=9)[0] == full[-1, -1]
+        pairs = licenses.common(a, b, 0, 9)
+        assert len(pairs) == full_common(a.tolist(), b.tolist()) and all(a[x] == b[y] for x, y in pairs)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
 
 
 def test_packing(docs, none):
