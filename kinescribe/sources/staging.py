@@ -9,25 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint
-    folder already set on the context; a temporary one only where neither is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder already
+    set on the context; a temporary one only where neither is set and driver and executors are one process."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinescribe-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
+def shared_table(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage, survives
     lost executors, and later passes read it instead of computing it again. The table goes
-    when the driver's JVM ends."""
+    when the driver's JVM ends. Without `compression` the session's codec is used."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
