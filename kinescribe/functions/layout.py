@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinescribe.functions.base import LINE_BREAKS, chars, let, squeeze, strip
+from kinescribe.functions.base import LINE_BREAKS, let, squeeze, strip
 
 LINE, LINES = 42, 2
 LONG, GAP, SHORT = 84, 0.04, 0.5
@@ -46,20 +46,20 @@ def sentence_pair(text: Column) -> Column:
     return let(sentences(text), choose)
 
 
-def _split_index(text: Column) -> Column:
-    size = F.length(text)
-
-    def best(n: Column) -> Column:
-        spaces = F.filter(F.transform(chars(text), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+def split_index(text: Column) -> Column:
+    """The space (from 0) at which two lines overflow least, then the one nearest the middle, then the first; null if
+    none. On either side of the middle the overflow grows outwards, so only the nearest space of each side counts."""
+    def best(t: Column) -> Column:
+        n = F.length(t)
+        half = F.floor(n / 2).cast("int")
         over = lambda k: F.greatest(F.lit(0), k - LINE)
-        return F.array_min(F.transform(spaces, lambda i: F.struct((over(i) + over(n - i - 1)).alias("over"), F.abs(i - n / 2).alias("off"), i.alias("at"))))["at"]
+        rank = lambda i: F.when(i >= 0, F.struct((over(i) + over(n - i - 1)).alias("over"), F.abs(i - n / 2).alias("off"), i.alias("at")))
+        before = let(F.instr(F.reverse(F.substring(t, F.lit(1), half + 1)), " "), lambda k: F.when(k > 0, half + 1 - k))
+        after = F.locate(" ", F.substring(t, half + 2, n))
+        after = let(after, lambda k: F.when(k > 0, half + k))
+        return F.least(let(before, rank), let(after, rank))["at"]
 
-    return let(size, best)
-
-
-def split_index(text: Column) -> Column:
-    """The space (from 0) at which two lines overflow least, then the one nearest the middle; null if none."""
-    return let(text, _split_index)
+    return let(text, best)
 
 
 def _halves(text: Column, at: Column) -> Column:
@@ -79,41 +79,28 @@ def word_chunks(word: Column, most: int = LINE) -> Column:
 
 
 def wrap(line: Column, most: int = LINE) -> Column:
-    """Greedy lines of words; a longer word ends the line before it and is cut, its last chunk goes on."""
-    empty = F.array().cast("array<string>")
-    add = lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["line"])))
-
-    def step(s: Column, word: Column) -> Column:
-        long = let(word_chunks(word, most), lambda c: F.struct(F.concat(add(s), F.slice(c, F.lit(1), F.size(c) - 1)).alias("done"), F.element_at(c, -1).alias("line")))
-        joined = F.concat_ws(" ", s["line"], word)
-        return (
-            F.when(F.length(word) > most, long)
-            .when(s["line"] == "", F.struct(s["done"].alias("done"), word.alias("line")))
-            .when(F.length(joined) <= most, F.struct(s["done"].alias("done"), joined.alias("line")))
-            .otherwise(F.struct(add(s).alias("done"), word.alias("line")))
-        )
-
-    words = F.filter(F.split(squeeze(line), " "), lambda w: w != "")
-    return F.aggregate(words, F.struct(empty.alias("done"), F.lit("").alias("line")), step, add)
+    """Greedy lines of words; a longer word ends the line before it and is cut, its last chunk goes on. A match is the
+    longest stretch that ends where a word does, or as much of a longer word as fits."""
+    return F.regexp_extract_all(squeeze(line), F.lit(f"[^ ](?:.{{0,{most - 2}}}[^ ])?(?= |$)|[^ ]{{{most}}}"), F.lit(0))
 
 
 def layout(text: Column) -> Column:
     """The caption's lines as array<string>: a fitting pair of sentence lines; lines that fit already; two
-    dialogue lines, wrapped; a balanced cut; else wrapped, which may give more than two lines."""
+    dialogue lines, wrapped; a balanced cut, each half wrapped where it doesn't fit, which may give more than two
+    lines. What is longer than two full lines and a space can't fit, so only the last two ways are left."""
     def lay(lines: Column) -> Column:
-        joined = F.array_join(lines, " ")
         wrapped = lambda ls: F.flatten(F.transform(ls, lambda x: wrap(x)))
+        talk = (F.size(lines) == LINES) & F.exists(lines, lambda x: x.startswith("-"))
 
-        def rest(_: Column) -> Column:
-            return let(two_lines(joined), lambda t: F.when(_fit(t), t).otherwise(wrapped(t)))
+        def short(joined: Column) -> Column:
+            cut = let(two_lines(joined), lambda t: F.when(_fit(t), t).otherwise(wrapped(t)))
+            return let(sentence_pair(joined), lambda p: F.when(p.isNotNull() & _fit(p), p)
+                .when((F.size(lines) <= LINES) & _fit(lines), lines)
+                .when(talk, wrapped(lines))
+                .otherwise(cut))
 
-        return (
-            F.when(F.size(lines) == 0, F.array().cast("array<string>"))
-            .otherwise(let(let(joined, sentence_pair), lambda p: F.when(p.isNotNull() & _fit(p), p)
-            .when((F.size(lines) <= LINES) & _fit(lines), lines)
-            .when((F.size(lines) == LINES) & F.exists(lines, lambda x: x.startswith("-")), wrapped(lines))
-            .otherwise(rest(p))))
-        )
+        fits = lambda joined: F.when(F.length(joined) <= 2 * LINE + 1, short(joined)).otherwise(wrapped(F.when(talk, lines).otherwise(two_lines(joined))))
+        return F.when(F.size(lines) == 0, F.array().cast("array<string>")).otherwise(let(F.array_join(lines, " "), fits))
 
     return let(text_lines(text), lay)
 

@@ -14,8 +14,15 @@ SIMILAR, CONTAINED, CONTAINED_CHARS = 0.86, 0.64, 6
 
 
 @F.pandas_udf(DoubleType())
-def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def _ratio(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+    """Ratios; 0 where the shared letters alone show that one is under least."""
+    def one(a: str | None, b: str | None, low: float) -> float | None:
+        if a is None or b is None:
+            return None
+        match = SequenceMatcher(None, a, b)
+        return match.ratio() if low <= 0 or match.quick_ratio() >= low else 0.0
+
+    return pd.Series([one(a, b, x) for a, b, x in zip(left, right, least)], dtype="float64")
 
 
 def ratio_bound(left: Column, right: Column) -> Column:
@@ -24,10 +31,10 @@ def ratio_bound(left: Column, right: Column) -> Column:
 
 
 def _bounded_ratio(left: Column, right: Column, least: float) -> Column:
-    """The ratio; 1 for equal texts and 0 where the bound is under least, without calling Python: the
-    UDF gets nulls there."""
+    """The ratio; 1 for equal texts, and 0 where a bound is under least: by the lengths without calling Python (the UDF
+    gets nulls there), by the letters in the UDF."""
     open_ = (left != right) & (left != "") & (right != "") & (ratio_bound(left, right) >= least)
-    value = _ratio(F.when(open_, left), F.when(open_, right))
+    value = _ratio(F.when(open_, left), F.when(open_, right), F.lit(float(least)))
     return F.when(left == right, 1.0).when(open_, value).otherwise(0.0)
 
 

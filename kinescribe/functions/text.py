@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinescribe.functions import rules
-from kinescribe.functions.base import _literal, holds, let, squeeze, starts, strip, strip_of
+from kinescribe.functions.base import _literal, holds, let, one_of, phrases, squeeze, squeeze_blanks, starts, strip, strip_of
 
 DASHES = "[-–—]"
 
@@ -16,13 +16,16 @@ def normalize_raw(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("|"), F.lit("i")), "[^a-z0-9]+", " "))
 
 
+CONTROLS = "".join(map(chr, [*range(9), 11, 12, *range(14, 32)]))
+
+
 def remove_fences(text: Column) -> Column:
-    return F.regexp_replace(text, "(?imd)^```(?:text)?|```$", "")
+    return F.when(text.contains("```"), F.regexp_replace(text, "(?imd)^```(?:text)?|```$", "")).otherwise(text)
 
 
 def remove_controls(text: Column) -> Column:
     lines = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    return F.regexp_replace(lines, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return F.translate(lines, CONTROLS, "")
 
 
 def split_dialogue(line: Column) -> Column:
@@ -31,19 +34,21 @@ def split_dialogue(line: Column) -> Column:
         parts = F.filter(F.transform(F.split(strip(F.substring(dashed, 3, 1 << 30)), rf"(?U)\s+{DASHES}\s*"), strip), lambda p: p != "")
         return let(parts, lambda p: F.when(dashed.startswith("- ") & (F.size(p) > 1), F.transform(p, lambda x: F.concat(F.lit("- "), x))).otherwise(F.array(dashed)))
 
-    return let(F.regexp_replace(line, rf"(?U)^\s*{DASHES}\s*", "- "), cut)
+    return F.when(line.rlike(rf"(?U)^\s*{DASHES}"), let(F.regexp_replace(line, rf"(?U)^\s*{DASHES}\s*", "- "), cut)).otherwise(F.array(line))
+
+
+_PREFIX = "(?i)^(?:" + "|".join(map(_literal, rules.ANSWER_PREFIXES)) + ")"
 
 
 def strip_prefix(text: Column) -> Column:
     """Without the first of the answer prefixes that the text starts with."""
-    pattern = "(?i)^(?:" + "|".join(map(_literal, rules.ANSWER_PREFIXES)) + ")"
-    return F.when(text.rlike(pattern), strip(strip_of(strip_of(strip(F.regexp_replace(text, pattern, "")), '"'), "'"))).otherwise(text)
+    return F.when(text.rlike(_PREFIX), strip(strip_of(strip_of(strip(F.regexp_replace(text, _PREFIX, "")), '"'), "'"))).otherwise(text)
 
 
 def strip_suffix(text: Column) -> Column:
     """Cut at the first listed absence marker found after the start."""
     def cut(low: Column) -> Column:
-        found = F.coalesce(*[F.when(F.instr(low, m) > 1, F.instr(low, m)) for m in rules.ABSENCE_SUFFIXES])
+        found = F.get(F.filter(F.transform(phrases(rules.ABSENCE_SUFFIXES), lambda m: F.instr(low, m)), lambda i: i > 1), 0)
         return F.when(holds(low, rules.ABSENCE_SUFFIXES), F.coalesce(strip(strip_of(strip_of(strip(F.substring(text, F.lit(1), found - 1)), "."), "-")), text)).otherwise(text)
 
     return let(F.lower(text), cut)
@@ -51,19 +56,19 @@ def strip_suffix(text: Column) -> Column:
 
 def prompt_leak(text: Column) -> Column:
     def test(low: Column) -> Column:
-        count = sum((low.contains(m).cast("int") for m in rules.PROMPT_MARKERS), F.lit(0))
-        return low.startswith("this is a request to read only the subtitle text") | F.when(holds(low, rules.PROMPT_MARKERS), (count >= 2) | ((count == 1) & (F.length(low) <= 80))).otherwise(False)
+        leaks = let(F.size(F.filter(phrases(rules.PROMPT_MARKERS), lambda m: low.contains(m))), lambda n: (n >= 2) | ((n == 1) & (F.length(low) <= 80)))
+        return low.startswith("this is a request to read only the subtitle text") | leaks
 
     return let(F.lower(text), test)
 
 
 def empty_answer(text: Column) -> Column:
-    plain = strip_of(strip(F.regexp_replace(F.lower(strip(text)), "[ \t]+", " ")), ".")
-    return let(plain, lambda n: n.isin(*rules.EMPTY_ANSWERS) | ((F.length(n) < 90) & holds(n, rules.EMPTY_PHRASES)))
+    plain = strip_of(strip(squeeze_blanks(F.lower(strip(text)))), ".")
+    return let(plain, lambda n: (F.length(n) < 90) & (one_of(n, rules.EMPTY_ANSWERS) | holds(n, rules.EMPTY_PHRASES)))
 
 
 def language_menu(norm: Column) -> Column:
-    return norm.startswith("subtitles ") & (F.size(F.array_intersect(F.split(norm, " "), F.array(*map(F.lit, rules.LANGUAGES)))) >= 4)
+    return norm.startswith("subtitles ") & (F.size(F.array_intersect(F.split(norm, " "), phrases(rules.LANGUAGES))) >= 4)
 
 
 def image_talk(norm: Column) -> Column:
@@ -72,34 +77,39 @@ def image_talk(norm: Column) -> Column:
 
 def ngram_loop(norm: Column) -> Column:
     """Ten words or more, most of which are one phrase of 2 to 5 words, at least four times (counted with overlaps)."""
+    def often(values: Column, least: Column) -> Column:
+        """Whether a value comes `least` times or more: then, sorted, it stands at two places so far apart."""
+        return let(F.sort_array(values), lambda v: let(least, lambda c: (F.size(v) >= c) & F.exists(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(v) - c)), lambda i: F.get(v, i) == F.get(v, i + c - 1))))
+
     def test(words: Column) -> Column:
-        def most(width: int) -> Column:
-            grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " ")))
-            start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-            def step(s: Column, g: Column) -> Column:
-                return let(F.when(s["last"] == g, s["run"] + 1).otherwise(1), lambda r: F.struct(g.alias("last"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
-            return F.aggregate(grams, start, step, lambda s: s["best"])
+        part = F.size(words) * 0.55
 
-        def loops(width: int) -> Column:
-            return let(most(width), lambda c: (c >= 4) & (c * width >= F.size(words) * 0.55))
+        def least(width: int, slack: float = 0.0) -> Column:
+            """The least count c of 4 or more with c * width >= part."""
+            low = F.floor((part - slack) / width).cast("int")
+            return F.greatest(F.lit(4), F.when(low * width >= part - slack, low).otherwise(low + 1))
 
+        grams = lambda width: F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+        loops = F.lit(False)
+        for width in (2, 3, 4, 5):
+            loops = loops | often(grams(width), least(width))
         # a phrase that fills 0.55 of n words has a first word that comes 0.55 / 5 * n times at least
-        some = lambda top: F.when((top >= 4) & (top * 5 >= F.size(words) * 0.55 - 1e-9), loops(2) | loops(3) | loops(4) | loops(5)).otherwise(False)
-        return F.when(F.size(words) < 10, False).otherwise(let(most(1), some))
+        return F.when(F.size(words) < 10, False).when(often(words, least(5, 1e-9)), loops).otherwise(False)
 
     return let(F.split(norm, " "), test)
 
 
+_SIZES = "(?:" + "|".join(rules.SIZE_TOKENS) + ")"
+
+
 def stock_text(norm: Column) -> Column:
-    words = F.split(norm, " ")
-    compact = F.replace(norm, F.lit(" "), F.lit(""))
     return (
         starts(norm, rules.STOCK_PREFIXES)
         | norm.contains("translates to")
-        | (F.regexp_count(norm, F.lit("who had been")) >= 4)
-        | ((F.size(words) >= 6) & (F.size(F.array_except(words, F.array(*map(F.lit, rules.SIZE_TOKENS)))) == 0))
+        | (norm.contains("who had been") & (F.regexp_count(norm, F.lit("who had been")) >= 4))
+        | norm.rlike(f"^(?:{_SIZES} ){{5,}}{_SIZES}$")
+        | norm.rlike("^[0-9](?: ?[0-9]){19,}$")
         | ngram_loop(norm)
-        | compact.rlike("^[0-9]{20,}$")
     )
 
 
@@ -114,7 +124,7 @@ def noise_rule(text: Column) -> Column:
         russian = n.startswith("the text appears to be in russian")
         tests = (
             ("no_letters", (n == "") & ~text.rlike(r"[\p{L}\p{N}]")),
-            ("exact", n.isin(*rules.NOISE_TEXTS)),
+            ("exact", one_of(n, rules.NOISE_TEXTS)),
             ("subtitle_number", n.rlike("^subtitle [0-9 ]*[0-9][0-9 ]*$")),
             ("request", starts(n, ("please do not ", "please provide the image", "please provide a clearer image", "i need to read "))),
             ("note", note & (holds(n, rules.NOTE_ABSENCE_MARKERS) | holds(n, rules.NOTE_TEST_MARKERS))),
@@ -142,29 +152,49 @@ def is_noise(text: Column) -> Column:
     return noise_rule(text).isNotNull()
 
 
+def _odd(norm: Column) -> Column:
+    return (norm == "") | starts(norm, rules.SINGLE_PREFIXES) | (norm.contains("shown in close up") & norm.contains("background is blurred")) | one_of(norm, rules.SINGLE_TEXTS)
+
+
 def suspicious(text: Column) -> Column:
     """Texts that, seen once only, are likely a model's stock answer."""
-    def test(n: Column) -> Column:
-        return (
-            (n == "") | is_noise(text) | stock_text(n) | starts(n, rules.SINGLE_PREFIXES)
-            | (n.contains("shown in close up") & n.contains("background is blurred")) | scene_talk(n) | n.isin(*rules.SINGLE_TEXTS)
-        )
+    return let(normalize_raw(text), lambda n: _odd(n) | is_noise(text) | stock_text(n) | scene_talk(n))
+
 
-    return let(normalize_raw(text), test)
+def suspicious_clean(text: Column) -> Column:
+    """The same for a text that cleaning gave: it is no noise, and so no stock text and no talk of a scene."""
+    return let(normalize_raw(text), _odd)
 
 
 def clean(text: Column) -> Column:
     """One pass of cleaning; an empty text where nothing is left or the rest is noise. Null is empty.
     Passes are not idempotent: each takes one prefix and one layer of quotes."""
     lines = F.split(remove_controls(remove_fences(F.coalesce(text, F.lit("")))), "\n", -1)
-    lines = F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
+    lines = F.filter(F.transform(lines, lambda x: strip(squeeze_blanks(x))), lambda x: x != "")
     whole = strip(strip_of(strip_of(strip(F.array_join(F.flatten(F.transform(lines, split_dialogue)), "\n")), '"'), "'"))
     bare = let(let(whole, strip_prefix), lambda t: strip(strip_of(strip_suffix(t), "*")))
-    return let(bare, lambda t: F.when(t == "", "").when(prompt_leak(t) | is_noise(t) | empty_answer(t), "").otherwise(t))
+    return let(bare, lambda t: F.when(t == "", "").when(prompt_leak(t) | empty_answer(t) | is_noise(t), "").otherwise(t))
+
+
+def clean_again(cleaned: Column) -> Column:
+    """clean of a text that cleaning gave. It changes only texts with another layer to take: quotes or asterisks at an end,
+    a prefix, a marker of absence, fences, or lines with dashes. The others have passed every test as they are."""
+    more = cleaned.rlike("^[\"'*]|[\"'*]$|```|(?:^|\n)" + DASHES) | cleaned.rlike(_PREFIX) | holds(F.lower(cleaned), rules.ABSENCE_SUFFIXES)
+    return F.when(more, clean(cleaned)).otherwise(cleaned)
 
 
 def normalize(text: Column) -> Column:
     return normalize_raw(clean(text))
 
 
-__all__ = ["clean", "is_noise", "noise_rule", "normalize", "normalize_raw", "split_dialogue", "squeeze", "suspicious"]
+def normalize_clean(cleaned: Column) -> Column:
+    """struct(norm, again) of a text that cleaning gave: normalize(text), and normalize of that once more. A norm keeps
+    the words that the noise rules look at, so only the tests that look at signs are made again."""
+    def again(n: Column) -> Column:
+        more = n.rlike(_PREFIX) | holds(n, rules.ABSENCE_SUFFIXES)
+        return F.when(n == "", "").when(more, normalize(n)).when(prompt_leak(n) | empty_answer(n), "").otherwise(n)
+
+    return let(normalize_raw(clean_again(cleaned)), lambda n: F.struct(n.alias("norm"), again(n).alias("again")))
+
+
+__all__ = ["clean", "clean_again", "is_noise", "noise_rule", "normalize", "normalize_clean", "normalize_raw", "split_dialogue", "squeeze", "suspicious", "suspicious_clean"]

@@ -40,7 +40,7 @@ def split_long(text: Column, start: Column, end: Column) -> Column:
 
 
 def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segments, events). Short segments are noted and kept; those whose text is empty or noise after another
+    """(segments, events), from segments of cleaned texts. Short segments are noted and kept; those whose text is empty or noise after another
     cleaning go, with an event; suspicious texts seen once are noted and kept; long ones are cut once and each
     piece is cleaned again. input_ord keeps the order; events have (input_ord, event_ord).
 
@@ -48,9 +48,9 @@ def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     generators over computed columns would otherwise compute the whole chain again for each use."""
     start, end, text = F.col("start_seconds"), F.col("end_seconds"), F.col("text")
     once = F.col("observation_count") <= 1
-    s = shared_table(segments.withColumn("__clean", tx.clean(text)), "cleaned")
-    s = s.withColumn("__valid", (F.col("__clean") != "") & ~tx.is_noise(F.col("__clean")))
-    s = s.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious(F.col("__clean"))).otherwise(False))
+    s = shared_table(segments.withColumn("__clean", tx.clean_again(text)), "cleaned")
+    s = s.withColumn("__valid", F.col("__clean") != "")
+    s = s.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious_clean(F.col("__clean"))).otherwise(False))
     s = s.withColumn("__cut", F.when(F.col("__valid"), split_long(F.col("__clean"), start, end)))
     length = end - start
     before = F.array_compact(F.array(
@@ -60,11 +60,11 @@ def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
         event(F.coalesce(F.col("__cut.short"), F.lit(False)), "cleanup", "long_segment_not_split_to_preserve_short_piece", start, end, F.col("__clean"), threshold_seconds=F.lit(SHORT)),
     ))
     s = shared_table(s.withColumn("__events", before), "judged")
-    p = s.where("__valid").select(*segments.columns, F.posexplode("__cut.pieces").alias("piece", "__p"))
-    p = p.withColumns({"start_seconds": F.col("__p.start"), "end_seconds": F.col("__p.end"), "__before": F.col("__p.text"), "text": tx.clean(F.col("__p.text"))})
-    p = shared_table(p.drop("__p"), "pieces")
-    p = p.withColumn("__valid", (F.col("text") != "") & ~tx.is_noise(F.col("text")))
-    p = p.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious(F.col("text"))).otherwise(False))
+    p = s.where("__valid").select(*segments.columns, "__cut", F.posexplode("__cut.pieces").alias("piece", "__p"))
+    p = p.withColumns({"start_seconds": F.col("__p.start"), "end_seconds": F.col("__p.end"), "__before": F.col("__p.text"), "text": F.when(F.size("__cut.pieces") == 1, tx.clean_again(F.col("__p.text"))).otherwise(tx.clean(F.col("__p.text")))})
+    p = shared_table(p.drop("__p", "__cut"), "pieces")
+    p = p.withColumn("__valid", F.col("text") != "")
+    p = p.withColumn("__odd", F.when(F.col("__valid") & once, tx.suspicious_clean(F.col("text"))).otherwise(False))
     after = F.array_compact(F.array(
         event(~F.col("__valid"), "cleanup", "dropped_split_segment_invalid_text", start, end, F.col("__before"), cleaned_text=text),
         event(F.col("__odd"), "cleanup", "suspicious_split_segment_preserved", start, end, F.col("__before"), cleaned_text=text),

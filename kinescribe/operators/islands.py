@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinescribe.functions import text as tx
-from kinescribe.functions.base import let
 from kinescribe.functions.similarity import near_duplicate
 
 RUN = "run_id"
@@ -20,15 +19,11 @@ def observation_status(observations: DataFrame) -> DataFrame:
     return o.withColumn("status", F.when(F.col("cleaned_text") != "", "usable").when(had, "dropped").otherwise("blank"))
 
 
-def equal_texts(before: Column, text: Column) -> Column:
-    return before == text
-
-
 def islands(usable: DataFrame, gap: float = 4.0, similarity: float | None = 0.86, text: str = "cleaned_text", keep_norm: bool = False) -> DataFrame:
     """Adds `island`, numbered from 1 in each run: a row goes on the island of the row before it if its text is
     a near duplicate of that row's (equal, where similarity is None) and not more than gap seconds later.
 
-    All windows share one partitioning and order. Pairs too far apart in time never reach the UDF. With
+    Texts are cleaned ones, unless similarity is None. All windows share one partitioning and order. Pairs too far apart in time never reach the UDF. With
     keep_norm, the normalized text stays as `norm`."""
     order = Window.partitionBy(RUN).orderBy(*ORDER)
     o = usable.withColumn("__gap", F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(order))
@@ -36,8 +31,7 @@ def islands(usable: DataFrame, gap: float = 4.0, similarity: float | None = 0.86
     if similarity is None:
         o = o.withColumn("__same", near & (F.lag(text).over(order) == F.col(text)))
     else:
-        both = let(tx.normalize(F.col(text)), lambda n: F.struct(n.alias("norm"), tx.normalize(n).alias("again")))
-        o = o.withColumn("__n", both)
+        o = o.withColumn("__n", tx.normalize_clean(F.col(text)))
         o = o.withColumn("__norm", F.col("__n.norm")).withColumn("__again", F.col("__n.again")).drop("__n")
         o = o.withColumns({"__norm0": F.when(near, F.lag("__norm").over(order)), "__again0": F.when(near, F.lag("__again").over(order))})
         side = lambda x: {"norm": F.coalesce("__norm" + x, F.lit("")), "again": F.coalesce("__again" + x, F.lit(""))}

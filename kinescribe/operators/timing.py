@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinescribe.functions.base import let
 from kinescribe.functions.layout import GAP, display_length
 from kinescribe.operators.cleanup import event
 
@@ -17,10 +18,14 @@ TRIM_FLOOR, MARGIN = 0.6, 1.10
 def duration_range(length: Column, floor: float) -> Column:
     """struct(least, most) seconds for a displayed length; least is at least floor."""
     pair = lambda low, high: F.struct(F.lit(max(floor, low)).alias("least"), F.lit(high).alias("most"))
-    out = None
-    for limit, low, high in RANGES:
-        out = F.when(length <= limit, pair(low, high)) if out is None else out.when(length <= limit, pair(low, high))
-    return out.otherwise(pair(*BEYOND))
+
+    def choose(n: Column) -> Column:
+        out = F.when(n <= RANGES[0][0], pair(*RANGES[0][1:]))
+        for limit, low, high in RANGES[1:]:
+            out = out.when(n <= limit, pair(low, high))
+        return out.otherwise(pair(*BEYOND))
+
+    return let(length, choose)
 
 
 def timing_safety(segments: DataFrame, min_segment: float = 0.65, gap: float = GAP, length: Column | None = None, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
