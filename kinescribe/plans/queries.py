@@ -18,6 +18,7 @@ from kinescribe.functions import text as tx
 from kinescribe.functions.base import squeeze
 from kinescribe.functions.similarity import near_duplicate, similarity
 from kinescribe.operators import audit, cleanup, islands, readings, select, timing
+from kinescribe.plans import text_sql as sql
 from kinescribe.plans.refine import merge
 from kinescribe.sources.io import cues, srt_documents
 
@@ -70,7 +71,7 @@ def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def q01(spark, sf_dir):
-    return select.stride_sample(events(spark, sf_dir), 7, 25.0, 10.0, 300.0).select("run_id", "frame_index", F.round("timestamp_seconds", 3).alias("timestamp_seconds"))
+    return select.stride_sample(events(spark, sf_dir), 7, 25.0).select("run_id", "frame_index", F.round("timestamp_seconds", 3).alias("timestamp_seconds"))
 
 
 def q02(spark, sf_dir):
@@ -115,6 +116,22 @@ def q08_steps(spark, sf_dir):
     return turns(spark, sf_dir).select("run_id", "frame_index", t.alias("bare"), squeeze(t).alias("squeezed"))
 
 
+def q08_status(spark, sf_dir):
+    o = islands.observation_status(lines(spark, sf_dir))
+    return o.select("run_id", "frame_index", "status", tx.normalize_clean(F.col("cleaned_text"))["norm"].alias("norm"), tx.suspicious(F.col("selected_text")).alias("suspicious"))
+
+
+def q08_parts(spark, sf_dir):
+    """The steps of cleaning on texts that give each of them work: every turn behind a prefix, before a marker of absence, and
+    as an answer of few words."""
+    t = F.substring("selected_text", 1, 60)
+    prefixed = F.concat(F.element_at(F.array(*map(F.lit, rules.ANSWER_PREFIXES)), (F.col("frame_index") % len(rules.ANSWER_PREFIXES) + 1).cast("int")), F.lit(' "'), "selected_text", F.lit('"'))
+    marked = F.concat(t, F.lit(". - "), F.element_at(F.array(*map(F.lit, rules.ABSENCE_SUFFIXES)), (F.col("run_id") % len(rules.ABSENCE_SUFFIXES) + 1).cast("int")), F.lit(" at all"))
+    leak = F.concat(F.element_at(F.array(*map(F.lit, rules.PROMPT_MARKERS)), (F.col("run_id") % len(rules.PROMPT_MARKERS) + 1).cast("int")), F.lit(" "), t)
+    answer = F.concat(F.lit(" "), F.element_at(F.array(*map(F.lit, (*rules.EMPTY_ANSWERS, *rules.EMPTY_PHRASES))), (F.col("run_id") % (len(rules.EMPTY_ANSWERS) + len(rules.EMPTY_PHRASES)) + 1).cast("int")), F.when(F.col("frame_index") % 2 == 0, ".").otherwise(t))
+    return turns(spark, sf_dir).select("run_id", "frame_index", tx.strip_prefix(prefixed).alias("prefix"), tx.strip_suffix(marked).alias("suffix"), tx.prompt_leak(leak).alias("leak"), tx.empty_answer(answer).alias("empty"))
+
+
 def q09(spark, sf_dir):
     n = lines(spark, sf_dir).select(tx.noise_rule(F.col("selected_text")).alias("rule"))
     return n.groupBy(F.coalesce("rule", F.lit("none")).alias("rule")).agg(F.count("*").alias("n"))
@@ -138,7 +155,7 @@ def q11(spark, sf_dir):
 
 def q12(spark, sf_dir):
     l = lines(spark, sf_dir).withColumn("cleaned_text", F.col("selected_text")).withColumn("island", F.floor(F.col("frame_index") / 4))
-    return islands.representative(l, F.substring(tx.normalize_raw(F.col("selected_text")), 1, 3)).select("run_id", "island", "text")
+    return islands.representative(l, tx.normalize_raw(F.col("selected_text"))).select("run_id", "island", "text")
 
 
 def q13(spark, sf_dir):
@@ -185,16 +202,24 @@ def q20(spark, sf_dir):
 
 
 def q21(spark, sf_dir):
-    return sentences_of(spark, sf_dir).select("run_id", "frame_index", "n", lay.split_index(F.col("text")).cast("long").alias("cut"), F.array_join(lay.two_lines(F.col("text")), "|").alias("lines"))
+    return sentences_of(spark, sf_dir).select("run_id", "frame_index", "n", F.coalesce(lay.split_index(F.col("text")), F.lit(-1)).cast("long").alias("cut"), F.array_join(lay.two_lines(F.col("text")), "|").alias("lines"))
 
 
 def q22(spark, sf_dir):
     return turns(spark, sf_dir).select("run_id", "frame_index", F.array_join(lay.wrap(F.replace("selected_text", F.lit("\n"), F.lit(" "))), "|").alias("lines"))
 
 
+def q22_layout(spark, sf_dir):
+    return sentences_of(spark, sf_dir).select("run_id", "frame_index", "n", lay.layout_text(F.col("text")).alias("lines"))
+
+
+def q22_layout_turns(spark, sf_dir):
+    return turns(spark, sf_dir).select("run_id", "frame_index", lay.layout_text(F.regexp_replace("selected_text", ", ", "\n- ")).alias("lines"))
+
+
 def q23(spark, sf_dir):
     r = timing.duration_range(lay.display_length(F.col("text")), 0.65)
-    return sentences_of(spark, sf_dir).select("run_id", "frame_index", "n", F.length("text").alias("length"), r["least"].alias("least"), r["most"].alias("most"))
+    return sentences_of(spark, sf_dir).select("run_id", "frame_index", "n", F.length("text").cast("long").alias("length"), r["least"].alias("least"), r["most"].alias("most"))
 
 
 def q24(spark, sf_dir):
@@ -219,6 +244,12 @@ def q26(spark, sf_dir):
     return readings.review_rows(chosen)
 
 
+def q26_review(spark, sf_dir):
+    """The same without the flag that rests on similarity, which SQL lacks."""
+    chosen = readings.choose_reading(_observations(spark, sf_dir))
+    return readings.review_rows(chosen.withColumn("flags", F.filter("flags", lambda f: f != "ocr_disagreement")))
+
+
 def q27(spark, sf_dir):
     e = events(spark, sf_dir).select("run_id", F.col("frame_index").alias("word_no"), F.col("selected_text").alias("word"), F.when(F.col("signal_score") < 50, "-1").otherwise(F.col("signal_score").cast("string")).alias("conf"))
     return readings.join_words(e, ["run_id"]).select("run_id", F.round("confidence", 4).alias("confidence"), "text")
@@ -255,10 +286,10 @@ def q30_audit(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "q01_stride_sample": q01, "q02_signal_and_change": q02, "q03_greedy_keep": q03, "q04_representatives": q04, "q05_fingerprint_distance": q05,
-        "q06_artifact_names": q06, "q07_normalize": q07, "q08_clean": q08, "q08_clean_steps": q08_steps, "q09_noise_rules": q09, "q09_noise_phrases": q09_phrases,
+        "q06_artifact_names": q06, "q07_normalize": q07, "q08_clean": q08, "q08_clean_steps": q08_steps, "q08_clean_parts": q08_parts, "q08_status": q08_status, "q09_noise_rules": q09, "q09_noise_phrases": q09_phrases,
         "q10_islands": q10, "q11_segments": q11, "q12_representative_text": q12, "q13_timing": q13, "q14_cue_time": q14, "q15_remove_overlaps": q15,
-        "q16_event_counts": q16, "q17_audit": q17, "q18_dialogue": q18, "q19_ngram_loop": q19, "q20_word_hits": q20, "q21_two_lines": q21, "q22_wrap": q22,
-        "q23_duration_range": q23, "q24_sentence_split": q24, "q25_long_split": q25, "q26_reading_choice": q26, "q27_confidence": q27, "q28_similarity": q28,
+        "q16_event_counts": q16, "q17_audit": q17, "q18_dialogue": q18, "q19_ngram_loop": q19, "q20_word_hits": q20, "q21_two_lines": q21, "q22_wrap": q22, "q22_layout": q22_layout, "q22_layout_turns": q22_layout_turns,
+        "q23_duration_range": q23, "q24_sentence_split": q24, "q25_long_split": q25, "q26_reading_choice": q26, "q26_review_rows": q26_review, "q27_confidence": q27, "q28_similarity": q28,
         "q29_near_duplicates": q29, "q30_refine": q30, "q30_srt": q30_srt, "q30_audit": q30_audit,
     }
 
@@ -279,6 +310,56 @@ _COUNTS = """, x AS (SELECT run_id, 'duration_extended' AS reason FROM o WHERE w
   UNION ALL SELECT run_id, 'trimmed_to_avoid_overlap' FROM o WHERE over_ AND room UNION ALL SELECT run_id, 'overlap_preserved_to_keep_subtitle' FROM o WHERE over_ AND NOT room)"""
 
 
+_TURNS = "c AS (SELECT conv_id AS run_id, turn AS frame_index, text AS txt, role FROM conversations)"
+_FLAT = _TURNS + ", v AS (SELECT run_id, frame_index, replace(txt, chr(10), ' ') AS t FROM c)"
+_SENTENCES = _FLAT + f""", s0 AS (SELECT run_id, frame_index, list_filter(list_transform({sql.sentences("t")}, lambda x: {sql.trim("x")}), lambda x: x <> '') AS ss FROM v),
+ s AS (SELECT run_id, frame_index, unnest(ss) AS t, unnest(range(len(ss))) AS n FROM s0)"""
+
+
+def _pick(values, at: str) -> str:
+    return f"{sql.listed(values)}[({at} % {len(values)} + 1)::INT]"
+
+
+def text_oracle_sql() -> dict[str, str]:
+    """SQL for the queries of cleaning and layout."""
+    prefix = sql.quoted("(?i)^(?:" + "|".join(rules.ANSWER_PREFIXES) + ")")
+    rest = sql.trim(sql.trim(sql.trim(sql.trim(f"regexp_replace(a, {prefix}, '')"), '"'), "'"))
+    place = f"list_filter(list_transform({sql.listed(rules.ABSENCE_SUFFIXES)}, lambda m: strpos(lower(b), m)), lambda i: i > 1)[1]"
+    wrapped_or = "array_to_string(coalesce(fixed, w.lines), chr(10))"
+    long = f"""a AS (SELECT run_id, frame_index, txt, frame_index * 4.0::DOUBLE AS a, frame_index * 4.0::DOUBLE + 4 AS z, array_to_string({sql.text_lines("txt")}, ' ') AS j FROM c),
+ b AS (SELECT *, {sql.sentence_cut("j")} AS sc, {sql.split_index("j")} AS wc FROM a),
+ d AS (SELECT *, CASE WHEN length(j) <= 84 THEN NULL WHEN sc IS NOT NULL THEN {sql.halves("j", "sc")} WHEN wc IS NOT NULL AND NOT list_contains({sql.halves("j", "wc")}, '') THEN {sql.halves("j", "wc")} END AS h FROM b),
+ e AS (SELECT *, least(greatest(a + greatest(0, z - a) * (length(h[1]) / greatest(1, length(h[1]) + length(h[2]))), a), greatest(a, z - 0.04::DOUBLE)) AS m FROM d),
+ f AS (SELECT *, least(z, m + 0.04::DOUBLE) AS m2 FROM e),
+ g AS (SELECT *, h IS NOT NULL AND m - a >= 0.5 AND z - m2 >= 0.5 AS cut FROM f)"""
+    return {
+        "q08_clean": f"WITH {_L}, {sql.cleaned('l', 'txt', 'cleaned')} SELECT run_id, frame_index, cleaned FROM k7",
+        "q08_clean_parts": f"""WITH {_TURNS}, x AS (SELECT run_id, frame_index, {_pick(rules.ANSWER_PREFIXES, "frame_index")} || ' "' || txt || '"' AS a, txt[:60] || '. - ' || {_pick(rules.ABSENCE_SUFFIXES, "run_id")} || ' at all' AS b,
+ {_pick(rules.PROMPT_MARKERS, "run_id")} || ' ' || txt[:60] AS d, ' ' || {_pick((*rules.EMPTY_ANSWERS, *rules.EMPTY_PHRASES), "run_id")} || CASE WHEN frame_index % 2 = 0 THEN '.' ELSE txt[:60] END AS e FROM c)
+ SELECT run_id, frame_index, CASE WHEN regexp_matches(a, {prefix}) THEN {rest} ELSE a END AS prefix,
+ CASE WHEN {sql.holds("lower(b)", *rules.ABSENCE_SUFFIXES)} THEN coalesce({sql.trim(sql.trim(sql.trim(sql.trim(f"b[:{place} - 1]"), "."), "-"))}, b) ELSE b END AS suffix, {sql.leak("lower(d)")} AS leak, {sql.empty("e")} AS empty FROM x""",
+        "q08_status": f"""WITH {_L}, {sql.cleaned("l", "txt", "one")}, {sql.cleaned("k7", "one", "two", "m")}
+ SELECT run_id, frame_index, CASE WHEN one <> '' THEN 'usable' WHEN regexp_matches(coalesce(txt, ''), {sql.quoted("[^" + sql.S[1:])}) THEN 'dropped' ELSE 'blank' END AS status, {sql.norm("two")} AS norm, {sql.suspicious("txt", "n")} AS suspicious FROM (SELECT *, {sql.norm("txt")} AS n FROM m7)""",
+        "q09_noise_rules": f"WITH {_L}, m AS (SELECT {sql.noise('txt', 'n')} AS rule FROM (SELECT txt, {sql.norm('txt')} AS n FROM l)) SELECT coalesce(rule, 'none') AS rule, count(*) AS n FROM m GROUP BY ALL",
+        "q21_two_lines": f"""WITH {_SENTENCES}, q AS (SELECT *, {sql.squeeze("t")} AS z FROM s), i AS (SELECT *, {sql.split_index("t")} AS cut, {sql.split_index("z")} AS mid FROM q)
+ SELECT run_id, frame_index, n, coalesce(cut, -1) AS cut, CASE WHEN length(z) <= 42 OR mid IS NULL THEN z ELSE array_to_string(list_filter({sql.halves("z", "mid")}, lambda x: x <> ''), '|') END AS lines FROM i""",
+        "q22_wrap": f"WITH RECURSIVE {_FLAT}, o AS (SELECT run_id, frame_index, [t] AS ts FROM v), {sql.wrapped('o', 'run_id, frame_index', 'ts')} SELECT run_id, frame_index, array_to_string(lines, '|') AS lines FROM wr2",
+        "q22_layout": f"WITH RECURSIVE {_SENTENCES}, {sql.laid('s', 't')}, {sql.wrapped('la4', 'run_id, frame_index, n', 'towrap')} SELECT run_id, frame_index, n, {wrapped_or} AS lines FROM la4 JOIN wr2 w USING (run_id, frame_index, n)",
+        "q22_layout_turns": f"WITH RECURSIVE {_TURNS}, y AS (SELECT run_id, frame_index, replace(txt, ', ', chr(10) || '- ') AS t FROM c), {sql.laid('y', 't')}, {sql.wrapped('la4', 'run_id, frame_index', 'towrap')} SELECT run_id, frame_index, {wrapped_or} AS lines FROM la4 JOIN wr2 w USING (run_id, frame_index)",
+        "q23_duration_range": f"""WITH {_SENTENCES}, q AS (SELECT *, {sql.squeeze("t")} AS z FROM s), d AS (SELECT *, length(z) + list_sum(list_transform(string_split(z, ' '), lambda w: greatest(0, length(w) - 1) // 42)) AS k FROM q)
+ SELECT run_id, frame_index, n, length(t) AS length, CASE WHEN k <= 15 THEN 1.0 WHEN k <= 25 THEN 1.5 WHEN k <= 39 THEN 2.4 WHEN k <= 46 THEN 3.5 ELSE 3.8 END::DOUBLE AS least,
+ CASE WHEN k <= 15 THEN 1.9 WHEN k <= 25 THEN 2.7 WHEN k <= 39 THEN 3.5 WHEN k <= 46 THEN 4.2 ELSE 5.0 END::DOUBLE AS most FROM d""",
+        "q24_sentence_split": f"WITH {_FLAT}, b AS (SELECT *, {sql.sentence_cut('t')} AS mid FROM v) SELECT run_id, frame_index, CASE WHEN mid IS NOT NULL THEN array_to_string({sql.halves('t', 'mid')}, '|') END AS halves FROM b",
+        "q25_long_split": f"""WITH {_TURNS}, {long}, p AS (SELECT *, unnest(CASE WHEN cut THEN [0, 1] ELSE [0] END) AS piece FROM g)
+ SELECT run_id, frame_index, piece, CASE WHEN cut THEN h[piece + 1] ELSE txt END AS text, round(CASE WHEN piece = 1 THEN m2 ELSE a END, 3) AS start_seconds, round(CASE WHEN cut AND piece = 0 THEN m ELSE z END, 3) AS end_seconds FROM p""",
+        "q26_review_rows": f"""WITH {_TURNS}, r AS (SELECT run_id, frame_index // 2 AS f, arg_max(txt, frame_index) FILTER (role = 'user') AS va, arg_max(txt, frame_index) FILTER (role <> 'user' OR role IS NULL) AS vb,
+  string_agg(CASE WHEN role = 'user' THEN 'vllm_error' ELSE 'tesseract_error' END, ';' ORDER BY frame_index) FILTER (length(txt) > 900) AS errors FROM c GROUP BY ALL),
+ {sql.cleaned("r", "va", "ca")}, {sql.cleaned("k7", "vb", "cb", "m")}
+ SELECT f::VARCHAR AS frame_index, printf('%.3f', f * 4.0::DOUBLE) AS timestamp_seconds, '' AS crop_path, CASE WHEN ca <> '' THEN ca ELSE cb END AS selected_text, coalesce(va, '') AS vllm_text, coalesce(vb, '') AS tesseract_text,
+ '' AS expected_text, '' AS failure_notes, concat_ws(';', errors, CASE WHEN ca = '' AND cb <> '' THEN 'used_tesseract_fallback' END) AS flags FROM m7""",
+    }
+
+
 def _sql_list(phrases) -> str:
     return "[" + ", ".join("'" + p.replace("'", "''") + "'" for p in phrases) + "]"
 
@@ -290,8 +371,8 @@ def _any(test: str, phrases) -> str:
 def oracle_sql() -> dict[str, str]:
     timed, timed_plain = _TIMED.replace("{len}", "(length(txt) * n)"), _TIMED.replace("{len}", "length(txt)")
     audited = _E.replace("FROM events", "FROM events WHERE value >= 100") + _SEGS[len(_E):]
-    return {
-        "q01_stride_sample": f"WITH {_E} SELECT run_id, frame_index, round(t, 3) AS timestamp_seconds FROM e WHERE frame_index BETWEEN 250 AND 7500 AND (frame_index - 250) % 7 = 0",
+    return text_oracle_sql() | {
+        "q01_stride_sample": f"WITH {_E} SELECT run_id, frame_index, round(t, 3) AS timestamp_seconds FROM e WHERE frame_index % 7 = 0",
         "q02_signal_and_change": f"WITH {_E}, d AS (SELECT *, coalesce(abs(lag(v) OVER (PARTITION BY run_id ORDER BY t, frame_index) - v), 1.0) AS d FROM e) SELECT run_id, frame_index, round(d, 4) AS diff_score FROM d WHERE v >= 100",
         "q03_greedy_keep": f"""WITH RECURSIVE {_E}, d AS (SELECT *, row_number() OVER w AS k, coalesce(abs(lag(v) OVER w - v), 1.0) AS d FROM e WINDOW w AS (PARTITION BY run_id ORDER BY t, frame_index)),
  g AS (SELECT run_id, frame_index, k, t AS last, true AS keep FROM d WHERE k = 1 UNION ALL
@@ -314,7 +395,7 @@ def oracle_sql() -> dict[str, str]:
  ({_any('starts_with', rules.SCENE_PREFIXES)}) OR (starts_with(n, 'die bombenangriffe') AND contains(n, 'katastrophalen zerst')) OR contains(n, 'soft glow illuminating the scene') AS scene, {_any('starts_with', rules.SINGLE_PREFIXES)} AS single FROM m""",
         "q10_islands": f"WITH {_ISLES} SELECT run_id, frame_index, island FROM i",
         "q11_segments": f"WITH {_SEGS} SELECT run_id, island, round(a, 3) AS start_seconds, round(b, 3) AS end_seconds, txt AS text, frames, n AS observation_count FROM s",
-        "q12_representative_text": f"""WITH {_L}, m AS (SELECT run_id, frame_index, frame_index // 4 AS island, txt, {_NORM}[1:3] AS n FROM l),
+        "q12_representative_text": f"""WITH {_L}, m AS (SELECT run_id, frame_index, frame_index // 4 AS island, txt, {_NORM} AS n FROM l),
  g AS (SELECT run_id, island, n, count(*) AS k, min(frame_index) AS first FROM m GROUP BY ALL), b AS (SELECT run_id, island, n FROM g QUALIFY row_number() OVER (PARTITION BY run_id, island ORDER BY k DESC, first) = 1)
  SELECT run_id, island, txt AS text FROM m JOIN b USING (run_id, island, n) QUALIFY row_number() OVER (PARTITION BY run_id, island ORDER BY length(txt) DESC, frame_index) = 1""",
         "q13_timing": f"WITH {_SEGS}{timed} SELECT run_id, island AS input_ord, round(a, 3) AS start_seconds, round(CASE WHEN over_ AND room THEN latest ELSE want END, 3) AS end_seconds FROM o",
