@@ -224,7 +224,9 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
             group = components(links.union(late))
 
     by_class = classes.join(group, F.col("set_key") == F.col("node"), "left").select("set_key", "id", F.coalesce("component", "set_key").alias("group"))
-    least = by_class.groupBy("group").agg(F.min("id").alias("least"))
+    # written, so that both sides of the join come by plain exchanges: then the runtime can split a large group
+    by_class = shared_table(by_class, "grouped")
+    least = shared_table(by_class.groupBy("group").agg(F.min("id").alias("least")), "least")
     by_class = by_class.join(least, "group").select("set_key", "group", "least")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_key"))
     out = signed.select("doc_id", "key", "n_shingles", own.alias("set_key")).join(by_class, "set_key", "left")
@@ -251,7 +253,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     doc_id and text, stay once as well. Rows without doc_id all stay."""
     rows = _grouped(docs, shingle, percent, BANDS, ROWS).where("doc_id is not null")
     each = shared_table(rows.groupBy("doc_id", "key", "group").agg(F.count("*").alias("m")), "rows")
-    first = each.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    first = shared_table(each.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first")), "first")
     judged = each.join(first, "group", "left").withColumn("stays", F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.key") == F.col("key")), F.lit(True)))
     judged = shared_table(judged.select("doc_id", "key", "m", "stays"), "judged")
 
