@@ -28,3 +28,19 @@ def summary(status: DataFrame, raw: DataFrame, cleaned: DataFrame, final: DataFr
     out = base.join(counts, "run_id", "left").withColumn("event_counts", F.coalesce("event_counts", F.create_map().cast("map<string,bigint>")))
     fixed = F.struct(*[F.lit(float(v)).alias(k) for k, v in settings.items()])
     return out.withColumns({"policy": F.lit(POLICY), "policy_notes": F.array(*map(F.lit, POLICY_NOTES)), "settings": fixed})
+
+
+def document(audit: DataFrame, dropped: DataFrame, events: DataFrame) -> DataFrame:
+    """run_id and `value`: a run's whole audit as one JSON text, with its dropped observations in the order of input and
+    its events in the order of stages and segments. A run's lists are one row, as its document is one file."""
+    fields = [F.col(c) for c in ("stage", "reason", "frame_index", "timestamp_seconds", "crop_path", "preprocessed_path", "selected_text", "flags", "signal_score", "diff_score") if c in dropped.columns]
+    in_order = lambda order, row, name: F.transform(F.array_sort(F.collect_list(F.struct(*order, row.alias("row")))), lambda x: x["row"]).alias(name)
+    gone = dropped.groupBy("run_id").agg(in_order([F.col("input_ord"), F.col("frame_index")], F.struct(*fields), "dropped_observations"))
+    late = F.col("stage_ord") == 1
+    order = [F.col("stage_ord"), F.when(late, F.col("start_seconds")).otherwise(0.0).alias("start"), F.when(late, F.col("end_seconds")).otherwise(0.0).alias("end"), F.col("input_ord"), F.col("event_ord")]
+    row = F.struct(*[F.col(c) for c in events.columns if c not in ("run_id", "input_ord", "event_ord", "stage_ord")])
+    said = events.groupBy("run_id").agg(in_order(order, row, "events"))
+    whole = audit.join(gone, "run_id", "left").join(said, "run_id", "left")
+    whole = whole.withColumns({c: F.coalesce(c, F.array().cast(whole.schema[c].dataType)) for c in ("dropped_observations", "events")})
+    keys = ["policy", "policy_notes", "settings", *[c for c in audit.columns if c.endswith("_count")], "event_counts", "dropped_observations", "events"]
+    return whole.select("run_id", F.to_json(F.struct(*keys)).alias("value"))

@@ -10,19 +10,29 @@ from kinescribe.functions.base import let
 from kinescribe.functions.layout import GAP, LONG, SHORT, long_split, text_lines
 from kinescribe.sources.staging import shared_table
 
-EVENT = "struct<stage:string,reason:string,start_seconds:double,end_seconds:double,text:string,observation_count:bigint,details:map<string,string>>"
+#: What an event may say beyond its segment; fields that a reason doesn't use are null, and not written.
+DETAILS = (
+    "threshold_seconds", "first_duration_seconds", "second_duration_seconds", "original_end_seconds", "adjusted_end_seconds", "minimum_duration_seconds", "maximum_duration_seconds",
+    "next_start_seconds", "duration_after_trim_seconds", "kept_end_seconds", "non_overlap_duration_seconds", "drop_threshold_seconds",
+)
+EVENT = "struct<stage:string,reason:string,start_seconds:double,end_seconds:double,duration_seconds:double,text:string,frame_indices:array<bigint>,observation_count:bigint,cleaned_text:string," + ",".join(f"{d}:double" for d in DETAILS) + ">"
 
 
-def event(test: Column, stage: str, reason: str, start: Column, end: Column, text: Column, **details: Column) -> Column:
-    pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
-    held = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    return F.when(test, F.struct(F.lit(stage).alias("stage"), F.lit(reason).alias("reason"), start.alias("start_seconds"), end.alias("end_seconds"), text.alias("text"), F.col("observation_count").cast("bigint").alias("observation_count"), held.alias("details"))).cast(EVENT)
+def event(test: Column, stage: str, reason: str, start: Column, end: Column, text: Column, cleaned_text: Column | None = None, **details: Column) -> Column:
+    fields = {
+        "stage": F.lit(stage), "reason": F.lit(reason), "start_seconds": start, "end_seconds": end, "duration_seconds": end - start, "text": text, "frame_indices": F.col("frame_indices"),
+        "observation_count": F.col("observation_count"), "cleaned_text": F.lit(None) if cleaned_text is None else cleaned_text, **{d: details.get(d, F.lit(None)) for d in DETAILS},
+    }
+    return F.when(test, F.struct(*[v.alias(k) for k, v in fields.items()])).cast(EVENT)
 
 
 def split_long(text: Column, start: Column, end: Column) -> Column:
     """struct(pieces, short): one piece or two (text, start, end). Texts of over LONG characters are cut once; the
-    time is shared by length, with a gap. If a piece would be under SHORT seconds nothing is cut and short is set."""
-    one = lambda flag: F.struct(F.array(F.struct(text.alias("text"), start.alias("start"), end.alias("end"))).alias("pieces"), F.lit(flag).alias("short"))
+    time is shared by length, with a gap. If a piece would be under SHORT seconds nothing is cut, and short has
+    both durations; else it is null."""
+    kind = "struct<first:double,second:double>"
+    one = lambda short: F.struct(F.array(F.struct(text.alias("text"), start.alias("start"), end.alias("end"))).alias("pieces"), short.cast(kind).alias("short"))
+    none = F.lit(None)
 
     def cut(parts: Column) -> Column:
         share = F.length(parts[0]) / F.greatest(F.lit(1), F.length(parts[0]) + F.length(parts[1]))
@@ -31,11 +41,12 @@ def split_long(text: Column, start: Column, end: Column) -> Column:
         def pieces(t: Column) -> Column:
             second = F.least(end, t + GAP)
             two = F.array(F.struct(parts[0].alias("text"), start.alias("start"), t.alias("end")), F.struct(parts[1].alias("text"), second.alias("start"), end.alias("end")))
-            return F.when((t - start < SHORT) | (end - second < SHORT), one(True)).otherwise(F.struct(two.alias("pieces"), F.lit(False).alias("short")))
+            short = F.struct((t - start).alias("first"), (end - second).alias("second"))
+            return F.when((t - start < SHORT) | (end - second < SHORT), one(short)).otherwise(F.struct(two.alias("pieces"), none.cast(kind).alias("short")))
 
-        return F.when(parts.isNull(), one(False)).otherwise(let(at, pieces))
+        return F.when(parts.isNull(), one(none)).otherwise(let(at, pieces))
 
-    long = lambda joined: F.when(F.length(joined) <= LONG, one(False)).otherwise(let(long_split(joined), cut))
+    long = lambda joined: F.when(F.length(joined) <= LONG, one(none)).otherwise(let(long_split(joined), cut))
     return let(F.array_join(text_lines(text), " "), long)
 
 
@@ -54,10 +65,10 @@ def cleanup(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = s.withColumn("__cut", F.when(F.col("__valid"), split_long(F.col("__clean"), start, end)))
     length = end - start
     before = F.array_compact(F.array(
-        event(length < SHORT, "cleanup", "short_segment_preserved_before_timing", start, end, text, duration_seconds=length, threshold_seconds=F.lit(SHORT)),
+        event(length < SHORT, "cleanup", "short_segment_preserved_before_timing", start, end, text, threshold_seconds=F.lit(SHORT)),
         event(~F.col("__valid"), "cleanup", "dropped_segment_invalid_text", start, end, text, cleaned_text=F.col("__clean")),
         event(F.col("__odd"), "cleanup", "suspicious_single_observation_preserved", start, end, text, cleaned_text=F.col("__clean")),
-        event(F.coalesce(F.col("__cut.short"), F.lit(False)), "cleanup", "long_segment_not_split_to_preserve_short_piece", start, end, F.col("__clean"), threshold_seconds=F.lit(SHORT)),
+        event(F.col("__cut.short").isNotNull(), "cleanup", "long_segment_not_split_to_preserve_short_piece", start, end, F.col("__clean"), threshold_seconds=F.lit(SHORT), first_duration_seconds=F.col("__cut.short.first"), second_duration_seconds=F.col("__cut.short.second")),
     ))
     s = shared_table(s.withColumn("__events", before), "judged")
     p = s.where("__valid").select(*segments.columns, "__cut", F.posexplode("__cut.pieces").alias("piece", "__p"))

@@ -137,23 +137,41 @@ def preprocess(image: np.ndarray) -> np.ndarray:
 
 
 SAMPLES = "run_id string, frame_index long, timestamp_seconds double, bbox array<int>, signal_score double, fingerprint array<float>"
+IMAGES = "frame binary, crop binary, bw binary"
 
 
-def sample_crops(frames: DataFrame, bottom: float = 0.34, mode: str = "bright", pad_x: int = 24, pad_y: int = 18) -> DataFrame:
+def sample_crops(frames: DataFrame, bottom: float = 0.34, mode: str = "bright", pad_x: int = 24, pad_y: int = 18, of: str = "preprocessed", images: bool = False) -> DataFrame:
     """From frames (run_id, frame_index, timestamp_seconds, height, width, data: BGR bytes) the crop's box, signal and
-    fingerprint. Images don't leave this pass, so no later shuffle carries them."""
+    fingerprint. Raw images don't leave this pass, so no later shuffle carries them.
+
+    of: what fingerprints are taken of. `preprocessed`, for which the least difference of candidates is set, needs
+    OpenCV; `crop` does not, and its differences are of another scale. images: adds the encoded files of frame, crop
+    and preprocessed crop, so that frames are decoded once (needs OpenCV)."""
+    if of not in ("preprocessed", "crop"):
+        raise ValueError("fingerprints are of preprocessed or crop")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 16):
                 part = batch.slice(i, 16)
-                box, signal, prints = [], [], []
+                box, signal, prints, files = [], [], [], ([], [], [])
                 for data, h, w in zip(part.column("data"), part.column("height").to_pylist(), part.column("width").to_pylist()):
                     frame = np.frombuffer(data.as_buffer(), np.uint8).reshape(h, w, 3)
                     (x0, y0, x1, y1), s = crop_box(frame, bottom, mode, pad_x, pad_y)
                     box.append([x0, y0, x1, y1])
                     signal.append(s)
-                    prints.append(fingerprint(frame[y0:y1, x0:x1]))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("run_id", "frame_index", "timestamp_seconds")], pa.array(box, pa.list_(pa.int32())), pa.array(signal), pa.array(prints, pa.list_(pa.float32()))], names=["run_id", "frame_index", "timestamp_seconds", "bbox", "signal_score", "fingerprint"])
-
-    return frames.select("run_id", "frame_index", "timestamp_seconds", "height", "width", "data").mapInArrow(run, SAMPLES)
+                    crop = frame[y0:y1, x0:x1]
+                    bw = preprocess(crop) if of == "preprocessed" or images else None
+                    prints.append(fingerprint(bw if of == "preprocessed" else crop))
+                    if images:
+                        import cv2
+
+                        for held, kind, image in zip(files, (".jpg", ".jpg", ".png"), (frame, crop, bw)):
+                            held.append(cv2.imencode(kind, image)[1].tobytes())
+                columns = [*[part.column(c) for c in ("run_id", "frame_index", "timestamp_seconds")], pa.array(box, pa.list_(pa.int32())), pa.array(signal), pa.array(prints, pa.list_(pa.float32()))]
+                names = ["run_id", "frame_index", "timestamp_seconds", "bbox", "signal_score", "fingerprint"]
+                if images:
+                    columns, names = [*columns, *[pa.array(f, pa.binary()) for f in files]], [*names, "frame", "crop", "bw"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return frames.select("run_id", "frame_index", "timestamp_seconds", "height", "width", "data").mapInArrow(run, SAMPLES + (", " + IMAGES if images else ""))

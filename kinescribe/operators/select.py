@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,24 +41,37 @@ def greedy_keep(candidates: DataFrame, min_diff: float = 0.030, every: float = 1
     """Candidates with a diff_score of min_diff or more, and those `every` seconds or more after the last one
     kept, whichever way that was kept (the first always).
 
-    Between two rows kept for their change only the forced ones depend on what went before, so a run is
-    first cut at those rows, which partitions hot runs further, and each stretch is folded in order."""
-    kept = F.coalesce(F.col("diff_score") >= min_diff, F.lit(False))
+    Rows kept for their change, and rows `every` seconds or more after the row before, are kept whatever went
+    before; a run is cut at them into stretches, which are dealt out, and each stretch is walked in order from
+    kept row to kept row. Only the last kept time is held, however long a stretch is."""
     order = Window.partitionBy(RUN).orderBy(*ORDER)
-    marked = candidates.withColumn("__stretch", F.sum(kept.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    fold = marked.groupBy(RUN, "__stretch").agg(F.array_sort(F.collect_list(F.struct(*ORDER, kept.alias("kept")))).alias("rows"))
-    ends = F.aggregate(
-        "rows",
-        F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<t:double,f:bigint>>").alias("all")),
-        lambda s, x: F.when(
-            x["kept"] | s["last"].isNull() | (x["timestamp_seconds"] - s["last"] >= every),
-            F.struct(x["timestamp_seconds"].cast("double").alias("last"), F.concat(s["all"], F.array(F.struct(x["timestamp_seconds"].cast("double").alias("t"), x["frame_index"].cast("long").alias("f")))).alias("all")),
-        ).otherwise(s),
-        lambda s: s["all"],
-    )
-    chosen = fold.select(F.col(RUN).alias("__run"), F.explode(ends).alias("k")).select("__run", F.col("k.t").alias("__t"), F.col("k.f").alias("__f"))
-    same = candidates[RUN].eqNullSafe(F.col("__run")) & (candidates["timestamp_seconds"] == F.col("__t")) & (candidates["frame_index"] == F.col("__f"))
-    return candidates.join(chosen, same, "left_semi")
+    gap = F.col("timestamp_seconds") - F.lag("timestamp_seconds").over(order)
+    sure = F.coalesce(F.col("diff_score") >= min_diff, F.lit(False)) | F.coalesce(gap >= every, F.lit(True))
+    marked = candidates.withColumn("__sure", sure).withColumn("__stretch", F.sum(F.col("__sure").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    names = candidates.columns
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -np.inf
+        for batch in batches:
+            time, first = batch.column("timestamp_seconds").to_numpy(zero_copy_only=False).astype(np.float64), batch.column("__sure").to_numpy(zero_copy_only=False)
+            keep = np.zeros(batch.num_rows, bool)
+            starts = np.flatnonzero(first)
+            # what goes on from the batch before, then each stretch from its first row, which is kept
+            for a, b in zip([0, *starts.tolist()], [*starts.tolist(), batch.num_rows]):
+                at = a
+                if a < b and first[a]:
+                    keep[a], last, at = True, time[a], a + 1
+                while at < b:
+                    at += int(np.searchsorted(time[at:b], last + every))
+                    while at > a and time[at - 1] - last >= every and not keep[at - 1]:
+                        at -= 1
+                    while at < b and time[at] - last < every:
+                        at += 1
+                    if at < b:
+                        keep[at], last, at = True, time[at], at + 1
+            yield batch.select(names).filter(pa.array(keep))
+
+    return marked.repartition(RUN, "__stretch").sortWithinPartitions(RUN, "__stretch", *ORDER).mapInArrow(walk, candidates.schema)
 
 
 def representatives(candidates: DataFrame, limit: int, bounds: DataFrame) -> DataFrame:

@@ -6,10 +6,13 @@ import argparse
 from dataclasses import fields
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from kinescribe.operators import imaging
 from kinescribe.plans import refine as plans
 from kinescribe.schemas import Settings
 from kinescribe.sources import io, video
+from kinescribe.sources.staging import shared_table
 
 _SKIP = {"video_path", "limit", "prompt", "vllm_model", "run_name", "start_seconds", "end_seconds", "tesseract_cmd"}
 
@@ -48,40 +51,18 @@ def main(argv: list[str] | None = None) -> int:
     info = video.video_info(settings.video_path)
     frames = spark.read.format("video_frames").options(path=settings.video_path, stride=settings.scan_stride, start=settings.start_seconds or "", end=settings.end_seconds or "").load()
     bounds = spark.createDataFrame([(settings.video_path, settings.start_seconds or 0.0, settings.end_seconds if settings.end_seconds is not None else info["duration_seconds"])], "run_id string, start_seconds double, end_seconds double")
-    kept = plans.candidates(frames, settings, bounds)
+    # frames are decoded once; what follows reads slim columns of this table, and the files of those kept
+    samples = shared_table(imaging.sample_crops(frames, settings.bottom_fraction, settings.crop_mode, settings.crop_padding_x, settings.crop_padding_y, images=True), "samples")
+    kept = shared_table(plans.candidates(samples.drop("frame", "crop", "bw"), settings, bounds).drop("fingerprint"), "kept")
     run_dir = settings.run_dir(command)
     io.write_one_text(spark.createDataFrame([(io.settings_json(settings, command, kept.count(), info),)], "value string"), f"{run_dir}/run_config.json")
-    crops = kept.join(frames.select("run_id", "frame_index", "height", "width", "data"), ["run_id", "frame_index"])
-    plans.run(plans.observe(_encoded(crops), settings), settings, command, run_dir)
+    io.write_candidates(kept, f"{run_dir}/candidates.json")
+    crops = kept.join(samples.select("run_id", "frame_index", "frame", "crop", "bw"), ["run_id", "frame_index"]).withColumn("input_ord", F.col("ordinal").cast("long"))
+    io.write_images(crops, f"{run_dir}/images")
+    plans.run(plans.observe(crops.drop("frame"), settings), settings, command, run_dir)
     print(f"Run complete: {run_dir}")
     return 0
 
 
-def _encoded(crops):
-    """Crops as image files in columns `crop` and `bw`; needs OpenCV."""
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
-    from kinescribe.operators.imaging import preprocess
-
-    keep = [c for c in crops.columns if c not in ("data", "height", "width", "fingerprint")]
-
-    def run(batches):
-        import cv2
-
-        for batch in batches:
-            crop, bw = [], []
-            for row in batch.select(["data", "height", "width", "bbox"]).to_pylist():
-                x0, y0, x1, y1 = row["bbox"]
-                image = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)[y0:y1, x0:x1]
-                crop.append(cv2.imencode(".jpg", image)[1].tobytes())
-                bw.append(cv2.imencode(".png", preprocess(image))[1].tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(crop, pa.binary()), pa.array(bw, pa.binary())], names=[*keep, "crop", "bw"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in crops.dtypes if c in keep) + ", crop binary, bw binary"
-    return crops.mapInArrow(run, schema).withColumn("input_ord", F.col("ordinal").cast("long"))
-
-
 if __name__ == "__main__":
     raise SystemExit(main())

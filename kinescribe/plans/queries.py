@@ -283,6 +283,33 @@ def q30_audit(spark, sf_dir):
     return merge(turns(spark, sf_dir).drop("role")).audit.drop("policy_notes", "settings", "event_counts")
 
 
+def q31(spark, sf_dir):
+    """The audit's events, with all their fields, over islands of equal texts: events as readings, their segments cut long or
+    short by their time, cleaned, split and timed."""
+    s = islands.segments(islands.islands(events(spark, sf_dir), GAP, None), 1.2, F.col("cleaned_text")).withColumn("input_ord", F.col("island")).drop("island")
+    _, e = timing.timing_safety(s, 0.65)
+    return e.select("run_id", "input_ord", "stage", "reason", *[F.round(c, 3).alias(c) for c in ("start_seconds", "end_seconds", "duration_seconds", "original_end_seconds", "adjusted_end_seconds", "minimum_duration_seconds", "maximum_duration_seconds")], "text", F.array_join("frame_indices", ",").alias("frames"), "observation_count")
+
+
+def q32(spark, sf_dir):
+    """Cleanup of segments before timing: turns as segments of up to three seconds, from cleaned texts; the segments that stay."""
+    s = turns(spark, sf_dir).select("run_id", F.col("frame_index").alias("input_ord"), F.col("timestamp_seconds").alias("start_seconds"), (F.col("timestamp_seconds") + F.col("frame_index") % 7 / 2.0).alias("end_seconds"), tx.clean(F.col("selected_text")).alias("text"), F.array("frame_index").alias("frame_indices"), (F.col("frame_index") % 2 + 1).cast("long").alias("observation_count"))
+    return cleanup.cleanup(s)
+
+
+def q32_segments(spark, sf_dir):
+    return q32(spark, sf_dir)[0].select("run_id", "input_ord", F.round("start_seconds", 3).alias("start_seconds"), F.round("end_seconds", 3).alias("end_seconds"), "text", "observation_count")
+
+
+def q32_events(spark, sf_dir):
+    e = q32(spark, sf_dir)[1]
+    return e.groupBy("run_id", "reason").agg(F.count("*").alias("n"), F.round(F.sum("first_duration_seconds"), 3).alias("first"), F.round(F.sum("second_duration_seconds"), 3).alias("second"))
+
+
+def q33(spark, sf_dir):
+    return srt_documents(_segments(spark, sf_dir).withColumn("input_ord", F.col("island")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "q01_stride_sample": q01, "q02_signal_and_change": q02, "q03_greedy_keep": q03, "q04_representatives": q04, "q05_fingerprint_distance": q05,
@@ -290,7 +317,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "q10_islands": q10, "q11_segments": q11, "q12_representative_text": q12, "q13_timing": q13, "q14_cue_time": q14, "q15_remove_overlaps": q15,
         "q16_event_counts": q16, "q17_audit": q17, "q18_dialogue": q18, "q19_ngram_loop": q19, "q20_word_hits": q20, "q21_two_lines": q21, "q22_wrap": q22, "q22_layout": q22_layout, "q22_layout_turns": q22_layout_turns,
         "q23_duration_range": q23, "q24_sentence_split": q24, "q25_long_split": q25, "q26_reading_choice": q26, "q26_review_rows": q26_review, "q27_confidence": q27, "q28_similarity": q28,
-        "q29_near_duplicates": q29, "q30_refine": q30, "q30_srt": q30_srt, "q30_audit": q30_audit,
+        "q29_near_duplicates": q29, "q30_refine": q30, "q30_srt": q30_srt, "q30_audit": q30_audit, "q31_audit_events": q31, "q32_cleanup": q32_segments, "q32_cleanup_events": q32_events, "q33_caption_files": q33,
     }
 
 
@@ -332,6 +359,12 @@ def text_oracle_sql() -> dict[str, str]:
  e AS (SELECT *, least(greatest(a + greatest(0, z - a) * (length(h[1]) / greatest(1, length(h[1]) + length(h[2]))), a), greatest(a, z - 0.04::DOUBLE)) AS m FROM d),
  f AS (SELECT *, least(z, m + 0.04::DOUBLE) AS m2 FROM e),
  g AS (SELECT *, h IS NOT NULL AND m - a >= 0.5 AND z - m2 >= 0.5 AS cut FROM f)"""
+    turned = f"""{_TURNS}, {sql.cleaned("c", "txt", "one")}, {sql.cleaned("k7", "one", "two", "m")},
+ g7 AS (SELECT run_id, frame_index AS ord, frame_index * 4.0::DOUBLE AS a, frame_index * 4.0::DOUBLE + frame_index % 7 / 2.0::DOUBLE AS z, two, {sql.norm("two")} AS nt, frame_index % 2 + 1 AS k FROM m7)"""
+    kept = f""", a AS (SELECT *, array_to_string({sql.text_lines("two")}, ' ') AS j FROM g7 WHERE two <> ''){long[long.index(",\n b AS"):]},
+ pc AS (SELECT *, unnest(CASE WHEN cut THEN [0, 1] ELSE [0] END) AS piece FROM g),
+ pd AS (SELECT run_id, ord, k, piece, CASE WHEN cut THEN h[piece + 1] ELSE two END AS part, CASE WHEN piece = 1 THEN m2 ELSE a END AS pa, CASE WHEN cut AND piece = 0 THEN m ELSE z END AS pz FROM pc),
+ {sql.cleaned("pd", "part", "done", "y")}, u AS (SELECT *, {sql.norm("done")} AS nd FROM y7)"""
     return {
         "q08_clean": f"WITH {_L}, {sql.cleaned('l', 'txt', 'cleaned')} SELECT run_id, frame_index, cleaned FROM k7",
         "q08_clean_parts": f"""WITH {_TURNS}, x AS (SELECT run_id, frame_index, {_pick(rules.ANSWER_PREFIXES, "frame_index")} || ' "' || txt || '"' AS a, txt[:60] || '. - ' || {_pick(rules.ABSENCE_SUFFIXES, "run_id")} || ' at all' AS b,
@@ -352,6 +385,15 @@ def text_oracle_sql() -> dict[str, str]:
         "q24_sentence_split": f"WITH {_FLAT}, b AS (SELECT *, {sql.sentence_cut('t')} AS mid FROM v) SELECT run_id, frame_index, CASE WHEN mid IS NOT NULL THEN array_to_string({sql.halves('t', 'mid')}, '|') END AS halves FROM b",
         "q25_long_split": f"""WITH {_TURNS}, {long}, p AS (SELECT *, unnest(CASE WHEN cut THEN [0, 1] ELSE [0] END) AS piece FROM g)
  SELECT run_id, frame_index, piece, CASE WHEN cut THEN h[piece + 1] ELSE txt END AS text, round(CASE WHEN piece = 1 THEN m2 ELSE a END, 3) AS start_seconds, round(CASE WHEN cut AND piece = 0 THEN m ELSE z END, 3) AS end_seconds FROM p""",
+        "q32_cleanup": f"WITH {turned}{kept} SELECT run_id, ord * 2 + piece AS input_ord, round(pa, 3) AS start_seconds, round(pz, 3) AS end_seconds, done AS text, k AS observation_count FROM u WHERE done <> ''",
+        "q32_cleanup_events": f"""WITH {turned}{kept}, ev AS (
+  SELECT run_id, 'short_segment_preserved_before_timing' AS reason, NULL::DOUBLE AS d1, NULL::DOUBLE AS d2 FROM g7 WHERE z - a < 0.5 UNION ALL
+  SELECT run_id, 'dropped_segment_invalid_text', NULL, NULL FROM g7 WHERE two = '' UNION ALL
+  SELECT run_id, 'suspicious_single_observation_preserved', NULL, NULL FROM g7 WHERE two <> '' AND k = 1 AND {sql.suspicious("two", "nt")} UNION ALL
+  SELECT run_id, 'long_segment_not_split_to_preserve_short_piece', m - a, z - m2 FROM g WHERE h IS NOT NULL AND NOT cut UNION ALL
+  SELECT run_id, 'dropped_split_segment_invalid_text', NULL, NULL FROM u WHERE done = '' UNION ALL
+  SELECT run_id, 'suspicious_split_segment_preserved', NULL, NULL FROM u WHERE done <> '' AND k = 1 AND {sql.suspicious("done", "nd")})
+ SELECT run_id, reason, count(*) AS n, round(sum(d1), 3) AS first, round(sum(d2), 3) AS second FROM ev GROUP BY ALL""",
         "q26_review_rows": f"""WITH {_TURNS}, r AS (SELECT run_id, frame_index // 2 AS f, arg_max(txt, frame_index) FILTER (role = 'user') AS va, arg_max(txt, frame_index) FILTER (role <> 'user' OR role IS NULL) AS vb,
   string_agg(CASE WHEN role = 'user' THEN 'vllm_error' ELSE 'tesseract_error' END, ';' ORDER BY frame_index) FILTER (length(txt) > 900) AS errors FROM c GROUP BY ALL),
  {sql.cleaned("r", "va", "ca")}, {sql.cleaned("k7", "vb", "cb", "m")}
@@ -371,6 +413,8 @@ def _any(test: str, phrases) -> str:
 def oracle_sql() -> dict[str, str]:
     timed, timed_plain = _TIMED.replace("{len}", "(length(txt) * n)"), _TIMED.replace("{len}", "length(txt)")
     audited = _E.replace("FROM events", "FROM events WHERE value >= 100") + _SEGS[len(_E):]
+    plain_segs = _SEGS.replace("+ 3600 AS b", "+ 1.2::DOUBLE AS b")
+    plain_timed = timed_plain.replace("* 3600", "* 1").replace("(1.10::DOUBLE * 1)", "1.10::DOUBLE")
     return text_oracle_sql() | {
         "q01_stride_sample": f"WITH {_E} SELECT run_id, frame_index, round(t, 3) AS timestamp_seconds FROM e WHERE frame_index % 7 = 0",
         "q02_signal_and_change": f"WITH {_E}, d AS (SELECT *, coalesce(abs(lag(v) OVER (PARTITION BY run_id ORDER BY t, frame_index) - v), 1.0) AS d FROM e) SELECT run_id, frame_index, round(d, 4) AS diff_score FROM d WHERE v >= 100",
@@ -405,6 +449,14 @@ def oracle_sql() -> dict[str, str]:
         "q17_audit": f"""WITH {audited}{timed_plain}{_COUNTS}, c AS (SELECT run_id, reason, count(*) AS k FROM x GROUP BY ALL), j AS (SELECT run_id, string_agg(reason || '=' || k, ',' ORDER BY reason) AS events FROM c GROUP BY run_id),
  u AS (SELECT user_id AS run_id, count(*) AS a1, count(*) FILTER (value < 50) AS a2, count(*) FILTER (value >= 100) AS a3, count(*) FILTER (value >= 50 AND value < 100) AS a4 FROM events GROUP BY ALL), q AS (SELECT run_id, count(*) AS k FROM s GROUP BY run_id)
  SELECT u.run_id, a1 AS input_observation_count, a2 AS blank_observation_count, a3 AS usable_observation_count, a4 AS dropped_observation_count, coalesce(q.k, 0) AS raw_segment_count, coalesce(q.k, 0) AS final_segment_count, coalesce(events, '') AS events FROM u LEFT JOIN q USING (run_id) LEFT JOIN j USING (run_id)""",
+        "q31_audit_events": f"""WITH {plain_segs}{plain_timed}, x AS (SELECT *, 'duration_extended' AS reason FROM o WHERE want > b UNION ALL SELECT *, 'duration_capped' FROM o WHERE want < b
+  UNION ALL SELECT *, 'trimmed_to_avoid_overlap' FROM o WHERE over_ AND room UNION ALL SELECT *, 'overlap_preserved_to_keep_subtitle' FROM o WHERE over_ AND NOT room)
+ SELECT run_id, island AS input_ord, 'timing' AS stage, reason, round(a, 3) AS start_seconds, round(b, 3) AS end_seconds, round(b - a, 3) AS duration_seconds,
+ round(CASE WHEN reason LIKE 'duration%' THEN b WHEN reason LIKE 'trimmed%' THEN want END, 3) AS original_end_seconds, round(CASE WHEN reason LIKE 'duration%' THEN want WHEN reason LIKE 'trimmed%' THEN latest END, 3) AS adjusted_end_seconds,
+ CASE WHEN reason = 'duration_extended' THEN lo END AS minimum_duration_seconds, CASE WHEN reason = 'duration_capped' THEN hi END AS maximum_duration_seconds, txt AS text, frames, n AS observation_count FROM x""",
+        "q33_caption_files": f"""WITH {_SEGS}, q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY a, b, island) AS k, greatest(0, round_even(a * 1000, 0)::BIGINT) AS f, greatest(0, round_even(b * 1000, 0)::BIGINT) AS g FROM s),
+ c AS (SELECT run_id, k, k || chr(10) || printf('%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d', f // 3600000, f % 3600000 // 60000, f % 60000 // 1000, f % 1000, g // 3600000, g % 3600000 // 60000, g % 60000 // 1000, g % 1000) || chr(10) || txt || chr(10) AS cue FROM q)
+ SELECT run_id, string_agg(cue, chr(10) ORDER BY k) AS srt FROM c GROUP BY run_id""",
         "q18_dialogue": rf"""WITH {_L}, m AS (SELECT run_id, frame_index, regexp_replace(trim(regexp_replace('- ' || replace(txt, ', ', ' - '), '\s+', ' ', 'g')), '^\s*[-–—]\s*', '- ') AS d FROM l),
  p AS (SELECT *, list_filter(list_transform(string_split_regex(trim(d[3:]), '\s+[-–—]\s*'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM m)
  SELECT run_id, frame_index, CASE WHEN starts_with(d, '- ') AND len(ps) > 1 THEN array_to_string(list_transform(ps, lambda x: '- ' || x), '|') ELSE d END AS parts FROM p""",

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinescribe.operators import audit, cleanup, engines, imaging, islands, readings, select, timing
+from kinescribe.operators import audit, cleanup, engines, islands, readings, select, timing
 from kinescribe.schemas import Settings
 from kinescribe.sources import io
 from kinescribe.sources.staging import shared_table
@@ -55,23 +55,27 @@ def refine(spark: SparkSession, run_dir: str, suffix: str = "refined", similarit
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         raise FileNotFoundError(f"{run_dir}/ocr_results.jsonl")
     done = merge(io.read_observations(spark, f"{run_dir}/ocr_results.jsonl", run_dir.rstrip("/").rpartition("/")[2]), *knobs.values())
-    write_outputs(done, run_dir, f"_{suffix}" if suffix else "")
-    report = done.audit.select("run_id", *[F.lit(v).alias(k) for k, v in knobs.items()], "input_observation_count", "raw_segment_count", "cleaned_segment_count", "final_segment_count", F.lit(suffix).alias("output_suffix"))
-    report.coalesce(1).write.mode("overwrite").json(f"{run_dir}/refine{'_' + suffix if suffix else ''}_report.json")
+    end = f"_{suffix}" if suffix else ""
+    write_outputs(done, run_dir, end)
+    report = done.audit.select(
+        "run_id", F.lit(f"{run_dir}/ocr_results.jsonl").alias("source_ocr_results"), F.col("input_observation_count").alias("observation_count"), F.col("final_segment_count").alias("segment_count"),
+        *[F.lit(v).alias(k) for k, v in knobs.items()], F.lit(f"segments{end}.json").alias("output_segments"), F.lit(f"subtitles{end}.srt").alias("output_srt"), F.lit(f"merge_audit{end}.json").alias("output_merge_audit"),
+    )
+    io.write_json_rows(report, f"{run_dir}/refine{end}_report.json")
     return done
 
 
 def write_outputs(done: Refined, run_dir: str, end: str) -> None:
-    io.write_json_document(done.segments, f"{run_dir}/segments{end}.json", ["start_seconds", "end_seconds", "input_ord"])
-    io.write_srt(done.segments, f"{run_dir}/subtitles{end}.srt")
-    done.audit.coalesce(1).write.mode("overwrite").json(f"{run_dir}/merge_audit{end}.json")
+    """The final segments, which three documents read, are computed once."""
+    segments = shared_table(done.segments, "final")
+    io.write_json_document(segments, f"{run_dir}/segments{end}.json", ["start_seconds", "end_seconds", "input_ord"])
+    io.write_srt(segments, f"{run_dir}/subtitles{end}.srt")
+    audit.document(done.audit, done.dropped, done.events).write.mode("overwrite").partitionBy("run_id").text(f"{run_dir}/merge_audit{end}.json")
 
 
-def candidates(frames: DataFrame, settings: Settings, bounds: DataFrame | None = None) -> DataFrame:
-    """Frames to named candidates: crops, signal, change, greedy keep, and representatives if there is a limit."""
-    samples = imaging.sample_crops(frames, settings.bottom_fraction, settings.crop_mode, settings.crop_padding_x, settings.crop_padding_y)
-    kept = select.candidates(samples, settings.min_signal, settings.min_diff, settings.force_every_seconds, settings.limit, bounds)
-    return select.artifact_names(kept)
+def candidates(samples: DataFrame, settings: Settings, bounds: DataFrame | None = None) -> DataFrame:
+    """Samples of frames to named candidates: change, greedy keep, and representatives if there is a limit."""
+    return select.artifact_names(select.candidates(samples, settings.min_signal, settings.min_diff, settings.force_every_seconds, settings.limit, bounds))
 
 
 def observe(crops: DataFrame, settings: Settings) -> DataFrame:

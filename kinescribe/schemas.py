@@ -6,9 +6,6 @@ from dataclasses import asdict, dataclass, fields
 from datetime import datetime
 from pathlib import PurePath
 
-CANDIDATES = "run_id string, frame_index long, timestamp_seconds double, frame_path string, crop_path string, preprocessed_path string, bbox array<int>, signal_score double, diff_score double"
-SEGMENTS = "run_id string, start_seconds double, end_seconds double, text string, frame_indices array<long>, observation_count long"
-VIDEOS = "run_id string, path string, frame_count long, fps double, width int, height int, duration_seconds double"
 OBSERVATIONS = "frame_index long, timestamp_seconds double, crop_path string, preprocessed_path string, selected_text string, results array<struct<backend:string,text:string,confidence:double,error:string,raw:string>>, flags array<string>, signal_score double, diff_score double"
 
 #: Fixed value: the instruction that goes with each image.
@@ -22,7 +19,7 @@ Preserve punctuation and line breaks when clear."""
 
 @dataclass(frozen=True)
 class Settings:
-    """Everything that a run can be told; the defaults are part of the results."""
+    """Everything that a run can be told. Names and defaults are part of the saved format and of the results."""
 
     video_path: str = ""
     output_root: str = "output"

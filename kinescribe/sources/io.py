@@ -9,9 +9,6 @@ from pyspark.sql import types as T
 from kinescribe.functions.layout import layout_text, srt_time
 from kinescribe.schemas import OBSERVATIONS, Settings
 
-FOLDERS = ("frames", "crops", "preprocessed")
-
-
 def read_observations(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """An ocr_results.jsonl file, or files in run_id=... folders, with input_ord. frame_index and timestamp_seconds
     must be there; other columns have defaults; a selected_text of null is the text "None", a missing one is
@@ -39,14 +36,19 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> dict:
-    """The saved settings of a run; empty if the file is missing or of another shape."""
+    """The saved settings of a run; empty if the file is missing, isn't JSON or is of another shape. Other failures of
+    the storage are raised."""
     import json
 
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    row = spark.read.option("wholetext", True).text(path).first()
     try:
-        data = json.loads(spark.read.option("wholetext", True).text(path).first()[0])
-        return data["config"] if isinstance(data.get("config"), dict) else {}
-    except Exception:  # any odd file counts as none
+        data = json.loads(row[0]) if row else {}
+    except ValueError:
         return {}
+    return data["config"] if isinstance(data, dict) and isinstance(data.get("config"), dict) else {}
 
 
 def write_one_text(df: DataFrame, path: str) -> None:
@@ -60,12 +62,35 @@ def write_json_document(df: DataFrame, path: str, order: list[str]) -> None:
     rows.write.mode("overwrite").partitionBy("run_id").text(path)
 
 
+def write_json_rows(df: DataFrame, path: str) -> None:
+    """Each row as one JSON object, in its run's folder."""
+    df.select("run_id", F.to_json(F.struct(*[c for c in df.columns if c != "run_id"])).alias("value")).write.mode("overwrite").partitionBy("run_id").text(path)
+
+
+CANDIDATES = ("frame_index", "timestamp_seconds", "frame_path", "crop_path", "preprocessed_path", "bbox", "signal_score", "diff_score")
+
+
+def write_candidates(kept: DataFrame, path: str) -> None:
+    """The candidates of each run as one JSON array, in the order of their ordinals."""
+    rows = kept.groupBy("run_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.struct(*CANDIDATES).alias("row")))), lambda x: x["row"])).alias("value"))
+    rows.write.mode("overwrite").partitionBy("run_id").text(path)
+
+
+def write_images(crops: DataFrame, path: str) -> None:
+    """The image files of candidates as a table (run_id, path, content): any storage that Spark writes to can hold it.
+    A path is the name that candidates and logs use."""
+    kinds = [F.struct(F.col(name).alias("path"), F.col(data).alias("content")) for name, data in (("frame_path", "frame"), ("crop_path", "crop"), ("preprocessed_path", "bw"))]
+    crops.select("run_id", F.inline(F.array(*kinds))).write.mode("overwrite").parquet(path)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("run_id").json(path)
 
 
 def write_review(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    """The review sheet as one file with one header, by time: it is for people, and as long as a sample or a film."""
+    order = [F.col("timestamp_seconds").cast("double"), F.col("frame_index").cast("long")]
+    df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def cues(segments: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def greedy_keep_stream(candidates: DataFrame, min_diff: float = 0.030, every: float = 1.8) -> DataFrame:
     """run_id, frame_index, timestamp_seconds and diff_score of the kept rows of a stream. Rows of a run are taken
-    in time order within a batch; rows that come before the last one kept, in a later batch, are late and go."""
+    in time order within a batch. The last time kept is the watermark: rows before it that come in a later batch are
+    late and go, as a kept row can't be taken back; order the source by time where none may be lost."""
 
     def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else float("-inf")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kinescribe.functions import layout as lay
 from kinescribe.functions import text as tx
 from kinescribe.functions.similarity import near_duplicate, similarity
-from kinescribe.operators import engines, imaging, islands, readings, select, timing
+from kinescribe.operators import cleanup, engines, imaging, islands, readings, select, timing
 from kinescribe.plans import cli, refine
 from kinescribe.schemas import Settings
 from kinescribe.sources import io, video
@@ -163,9 +163,9 @@ def test_imaging(spark):
     assert imaging.text_mask(np.array([[[0, 255, 255], [0, 0, 255], [255, 255, 255]]], np.uint8)).tolist() == [[True, False, True]]
     assert imaging.fingerprint(np.full((48, 192), 51, np.uint8)).tolist() == pytest.approx([0.2] * 2304)
     d = spark.createDataFrame([("r", 1, 0.04, 200, 400, bytearray(frame.tobytes()))], "run_id string, frame_index long, timestamp_seconds double, height int, width int, data binary")
-    row = imaging.sample_crops(d).first()
+    row = imaging.sample_crops(d, of="crop").first()
     assert row.bbox == [x0, y0, x1, y1] and len(row.fingerprint) == 2304
-    assert select.candidates(imaging.sample_crops(d)).count() == 1
+    assert select.candidates(imaging.sample_crops(d, of="crop")).count() == 1
     assert list(video.sampled_frames(100, 25.0, 12, 1.0, 2.0)) == [25, 37, 49] and list(video.sampled_frames(10, 25.0, 3, 9.0, 1.0)) == [225]
 
 
@@ -182,6 +182,12 @@ def test_refine_folder(spark, tmp_path):
     assert (audit.input_observation_count, audit.blank_observation_count, audit.dropped_observation_count, audit.raw_segment_count, audit.final_segment_count) == (8, 2, 2, 2, 3)
     assert audit.settings.hold_seconds == 1.0 and audit.settings.merge_gap_seconds == 4.0
     assert sum(audit.event_counts.values()) == done.events.count()
+    whole = json.loads(next((tmp_path / "merge_audit_refined.json").rglob("part-*")).read_text())
+    assert [(x["frame_index"], x["reason"]) for x in whole["dropped_observations"]] == [(48, "cleaned_to_empty"), (72, "cleaned_to_empty")]
+    assert len(whole["events"]) == done.events.count() and all(x["frame_indices"] and "duration_seconds" in x for x in whole["events"])
+    assert Counter(x["reason"] for x in whole["events"]) == whole["event_counts"] and whole["policy"] == "subtitle_first"
+    report = json.loads(next((tmp_path / "refine_refined_report.json").rglob("part-*")).read_text())
+    assert (report["observation_count"], report["segment_count"], report["output_srt"], report["hold_seconds"]) == (8, 3, "subtitles_refined.srt", 1.0) and report["source_ocr_results"].endswith("ocr_results.jsonl")
     assert {p.name for p in tmp_path.iterdir()} >= {"segments_refined.json", "subtitles_refined.srt", "merge_audit_refined.json", "refine_refined_report.json"}
     srt = io.srt_documents(done.segments).first().srt
     assert srt.startswith("1\n00:00:00,000 --> 00:00:01,500\nHello there!\n\n2\n") and srt.endswith("\n")
@@ -191,6 +197,65 @@ def test_refine_folder(spark, tmp_path):
     assert empty.segments.count() == 0 and empty.audit.first().raw_segment_count == 0
 
 
+def test_every_reason(spark):
+    """A segment for each of the eleven reasons that an audit may state."""
+    long = "This caption is much too long for a single cue because it goes on and on and on. Close up of it"
+    rows = [
+        (1, 0.0, 0.3, "Hello there", 2), (2, 10.0, 11.0, "'none'", 2), (3, 20.0, 21.5, "Close up of a hand", 1), (4, 30.0, 30.9, long, 2), (5, 40.0, 46.0, long, 1),
+        (6, 48.0, 59.0, "This caption is much too long for a single cue because it goes on and on and on. \"none\"", 2), (7, 60.0, 80.0, "Short", 2), (8, 90.0, 92.0, "One two three", 2), (9, 90.8, 92.0, "Four five", 2), (10, 91.0, 92.2, "Six seven", 2),
+    ]
+    s = spark.createDataFrame([("r", i, a, b, t, [i], n) for i, a, b, t, n in rows], "run_id string, input_ord long, start_seconds double, end_seconds double, text string, frame_indices array<long>, observation_count long")
+    cleaned, early = cleanup.cleanup(s)
+    _, late = timing.timing_safety(cleaned)
+    found = {r.reason: r for r in early.unionByName(late).collect()}
+    assert set(found) == {
+        "short_segment_preserved_before_timing", "dropped_segment_invalid_text", "suspicious_single_observation_preserved", "long_segment_not_split_to_preserve_short_piece", "suspicious_split_segment_preserved",
+        "dropped_split_segment_invalid_text", "duration_extended", "duration_capped", "trimmed_to_avoid_overlap", "overlap_preserved_to_keep_subtitle",
+    } | {"suspicious_single_observation_preserved"}
+    held = found["long_segment_not_split_to_preserve_short_piece"]
+    assert held.frame_indices == [4] and held.first_duration_seconds + held.second_duration_seconds == pytest.approx(0.9 - 0.04) and held.cleaned_text is None
+    assert found["dropped_split_segment_invalid_text"].cleaned_text == "" and found["short_segment_preserved_before_timing"].duration_seconds == pytest.approx(0.3)
+
+
+def test_candidates_and_images(spark, tmp_path):
+    kept = spark.createDataFrame([("r", 2, 24, 1.0, "f2", "c2", "p2", [0, 1, 2, 3], 0.5, 1.0), ("r", 1, 12, 0.5, "f1", "c1", "p1", [0, 1, 2, 3], 0.4, 1.0)], "run_id string, ordinal int, frame_index long, timestamp_seconds double, frame_path string, crop_path string, preprocessed_path string, bbox array<int>, signal_score double, diff_score double")
+    io.write_candidates(kept, str(tmp_path / "candidates.json"))
+    got = json.loads(next((tmp_path / "candidates.json").rglob("part-*")).read_text())
+    assert [x["frame_index"] for x in got] == [12, 24] and got[0]["bbox"] == [0, 1, 2, 3] and list(got[0]) == list(io.CANDIDATES)
+    io.write_images(kept.select("*", *[F.lit(x).cast("binary").alias(x) for x in ("frame", "crop", "bw")]), str(tmp_path / "images"))
+    assert {r.path: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "images")).collect()} == {f"{k[0]}{i}": k.encode() for i in (1, 2) for k in ("frame", "crop")} | {f"p{i}": b"bw" for i in (1, 2)}
+    assert io.read_settings(spark, str(tmp_path / "none.json")) == {}
+    (tmp_path / "odd.json").write_text("[1]")
+    (tmp_path / "bad.json").write_text("{")
+    assert io.read_settings(spark, str(tmp_path / "odd.json")) == io.read_settings(spark, str(tmp_path / "bad.json")) == {}
+
+
+def test_fuzzy_islands_by_hand(spark):
+    """Islands of similar texts on all lines of the small documents, walked one by one."""
+    from kinescribe.plans.queries import lines
+
+    status = islands.observation_status(lines(spark, "/root/testdata/sf0.001")).where("status = 'usable'")
+    rows = status.select("run_id", "frame_index", "timestamp_seconds", tx.normalize_clean(F.col("cleaned_text")).alias("n")).collect()
+    got = {(r.run_id, r.frame_index): r.island for r in islands.islands(status).collect()}
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.run_id, r.timestamp_seconds, r.frame_index)):
+        by.setdefault(r.run_id, []).append(r)
+    joined = 0
+    for run, rs in by.items():
+        island = 0
+        for before, r in zip([None, *rs], rs):
+            same = False
+            if before is not None and r.timestamp_seconds - before.timestamp_seconds <= 4.0 and before.n.norm and r.n.norm:
+                ratio = lambda x, y: SequenceMatcher(None, x, y).ratio() if x and y else float(x == y)
+                same = ratio(before.n.again, r.n.again) >= 0.86
+                short, other = sorted((before.n, r.n), key=lambda n: len(n.norm))
+                same = same or (len(short.norm) >= 6 and short.norm in other.norm and ratio(short.again, other.again) >= 0.64)
+            island += not same
+            joined += same
+            assert got[run, r.frame_index] == island
+    assert joined > 5
+
+
 def test_settings_and_command_line():
     assert Settings().to_dict()["merge_similarity"] == 0.86 and Settings(run_name="x").run_dir("extract") == "output/x"
     assert Settings.knob(None, {"hold_seconds": "2"}, "hold_seconds") == 2.0 and Settings.knob(0.5, {}, "hold_seconds") == 0.5 and Settings.knob(None, {"hold_seconds": "z"}, "hold_seconds") == 1.2
