@@ -6,6 +6,7 @@ import functools
 import re
 from collections.abc import Callable, Iterable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +19,25 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_REMEMBERED: dict[tuple, Column] = {}
+
+
+def remembered(make: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """make(column), built once a session for each column given by its name only. Such an expression is bound to no
+    table, so it serves all; building a large one takes thousands of calls to the JVM."""
+    @functools.wraps(make)
+    def call(column: Column) -> Column:
+        node = column._jc.node() if hasattr(column, "_jc") else None
+        if node is None or node.getClass().getSimpleName() != "UnresolvedAttribute" or node.planId().isDefined():
+            return make(column)
+        key = (SparkContext._active_spark_context.applicationId, make.__module__, make.__qualname__, node.nameParts().mkString("\0"))
+        if key not in _REMEMBERED:
+            _REMEMBERED[key] = make(column)
+        return _REMEMBERED[key]
+
+    return call
+
+
 #: White space of any Unicode kind.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinescribe.functions.base import LINE_BREAKS, let, squeeze, strip
+from kinescribe.functions.base import LINE_BREAKS, let, remembered, squeeze, strip
 
 LINE, LINES = 42, 2
 LONG, GAP, SHORT = 84, 0.04, 0.5
@@ -66,6 +66,7 @@ def _halves(text: Column, at: Column) -> Column:
     return F.array(strip(F.substring(text, F.lit(1), at)), strip(F.substring(text, at + 2, F.length(text))))
 
 
+@remembered
 def two_lines(text: Column) -> Column:
     """array of one or two lines."""
     def cut(t: Column) -> Column:
@@ -84,6 +85,7 @@ def wrap(line: Column, most: int = LINE) -> Column:
     return F.regexp_extract_all(squeeze(line), F.lit(f"[^ ](?:.{{0,{most - 2}}}[^ ])?(?= |$)|[^ ]{{{most}}}"), F.lit(0))
 
 
+@remembered
 def layout(text: Column) -> Column:
     """The caption's lines as array<string>: a fitting pair of sentence lines; lines that fit already; two
     dialogue lines, wrapped; a balanced cut, each half wrapped where it doesn't fit, which may give more than two
@@ -105,14 +107,17 @@ def layout(text: Column) -> Column:
     return let(text_lines(text), lay)
 
 
+@remembered
 def layout_text(text: Column) -> Column:
     return F.array_join(layout(text), "\n")
 
 
+@remembered
 def display_length(text: Column) -> Column:
     return F.length(F.array_join(layout(text), " "))
 
 
+@remembered
 def sentence_split(text: Column) -> Column:
     """array of two: the text cut at the sentence boundary nearest its middle (the left of equals); null if none.
     Text stands on both sides of a boundary, so the nearest one always works."""
@@ -133,6 +138,7 @@ def sentence_split(text: Column) -> Column:
     return let(text, cut)
 
 
+@remembered
 def long_split(text: Column) -> Column:
     """array of two for consecutive captions: by sentence, else at the best space; null if neither works."""
     def words(t: Column) -> Column:

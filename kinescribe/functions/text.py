@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kinescribe.functions import rules
-from kinescribe.functions.base import _literal, holds, let, one_of, phrases, squeeze, squeeze_blanks, starts, strip, strip_of
+from kinescribe.functions.base import _literal, holds, let, one_of, phrases, remembered, squeeze, squeeze_blanks, starts, strip, strip_of
 
 DASHES = "[-–—]"
 
@@ -75,6 +75,7 @@ def image_talk(norm: Column) -> Column:
     return starts(norm, rules.IMAGE_PREFIXES) | holds(norm, rules.IMAGE_MARKERS)
 
 
+@remembered
 def ngram_loop(norm: Column) -> Column:
     """Ten words or more, most of which are one phrase of 2 to 5 words, at least four times (counted with overlaps)."""
     def often(values: Column, least: Column) -> Column:
@@ -117,6 +118,7 @@ def scene_talk(norm: Column) -> Column:
     return starts(norm, rules.SCENE_PREFIXES) | (norm.startswith("die bombenangriffe") & norm.contains("katastrophalen zerst")) | norm.contains("soft glow illuminating the scene")
 
 
+@remembered
 def noise_rule(text: Column) -> Column:
     """The name of the first rule by which a text is noise; null if it is none."""
     def rule(n: Column) -> Column:
@@ -156,16 +158,19 @@ def _odd(norm: Column) -> Column:
     return (norm == "") | starts(norm, rules.SINGLE_PREFIXES) | (norm.contains("shown in close up") & norm.contains("background is blurred")) | one_of(norm, rules.SINGLE_TEXTS)
 
 
+@remembered
 def suspicious(text: Column) -> Column:
     """Texts that, seen once only, are likely a model's stock answer."""
     return let(normalize_raw(text), lambda n: _odd(n) | is_noise(text) | stock_text(n) | scene_talk(n))
 
 
+@remembered
 def suspicious_clean(text: Column) -> Column:
     """The same for a text that cleaning gave: it is no noise, and so no stock text and no talk of a scene."""
     return let(normalize_raw(text), _odd)
 
 
+@remembered
 def clean(text: Column) -> Column:
     """One pass of cleaning; an empty text where nothing is left or the rest is noise. Null is empty.
     Passes are not idempotent: each takes one prefix and one layer of quotes."""
@@ -176,6 +181,7 @@ def clean(text: Column) -> Column:
     return let(bare, lambda t: F.when(t == "", "").when(prompt_leak(t) | empty_answer(t) | is_noise(t), "").otherwise(t))
 
 
+@remembered
 def clean_again(cleaned: Column) -> Column:
     """clean of a text that cleaning gave. It changes only texts with another layer to take: quotes or asterisks at an end,
     a prefix, a marker of absence, fences, or lines with dashes. The others have passed every test as they are."""
@@ -187,6 +193,7 @@ def normalize(text: Column) -> Column:
     return normalize_raw(clean(text))
 
 
+@remembered
 def normalize_clean(cleaned: Column) -> Column:
     """struct(norm, again) of a text that cleaning gave: normalize(text), and normalize of that once more. A norm keeps
     the words that the noise rules look at, so only the tests that look at signs are made again."""
