@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinescribe.functions import layout as lay
 from kinescribe.functions import text as tx
-from kinescribe.functions.similarity import near_duplicate, similarity
+from kinescribe.functions.similarity import block_ratio, near_duplicate, shared_letters, similarity
 from kinescribe.operators import cleanup, engines, imaging, islands, readings, select, timing
 from kinescribe.plans import cli, refine
 from kinescribe.schemas import Settings
@@ -74,6 +74,27 @@ def test_layout(spark):
     assert one(spark, ["One here. Two is longer here. Three.", "none at all"], "string", lay.sentence_split) == [["One here.", "Two is longer here. Three."], None]
 
 
+def test_block_ratio_is_the_matchers():
+    """Equal to the standard library's ratio and bound, on texts of few and many letters, long and empty ones, and ones with common stretches."""
+    draw = random.Random(11)
+    for _ in range(4000):
+        letters = "".join(map(chr, range(97, 97 + draw.choice([1, 2, 3, 6, 26, 300]))))
+        often = [draw.random() ** 3 for _ in letters]
+        a, b = ("".join(draw.choices(letters, often, k=draw.choice([0, 1, 2, 7, 8, 9, 16, 63, 64, 120, 199, 200, 260]))) for _ in range(2))
+        if a and b and draw.random() < 0.5:
+            at, start = draw.randrange(len(a)), draw.randrange(len(b))
+            a = a[:at] + b[start : start + 40] + a[at:]
+        match = SequenceMatcher(None, a, b)
+        assert block_ratio(a, b) == match.ratio() and shared_letters(a, b) == match.quick_ratio(), (a, b)
+    words = ["".join(draw.choices("etaoinshrdlu" * 8 + "cmfwypvbgkqjxz", k=draw.randint(1, 9))) for _ in range(300)]
+    for _ in range(300):
+        a = draw.choices(words, k=draw.randint(30, 400))
+        b = [w for w in a if draw.random() < 0.9] if draw.random() < 0.5 else draw.choices(words, k=draw.randint(30, 400))
+        a, b = " ".join(a), " ".join(b)
+        assert block_ratio(a, b) == SequenceMatcher(None, a, b).ratio(), (a, b)
+    assert block_ratio("ab" * 9000, "ba" * 90) == SequenceMatcher(None, "ab" * 9000, "ba" * 90).ratio()
+
+
 def test_similarity(spark):
     pairs = [("tide", "diet"), ("diet", "tide"), ("", ""), ("a", ""), ("hello there", "hello theme"), ("abc", "abcdef")]
     d = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i")
