@@ -202,11 +202,14 @@ def _grouped(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int)
     classes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = shared_table(classes.select("set_key", F.col("at.doc_id").alias("id"), "at.key", "n", "keys"), "classes")
 
+    # most buckets hold one class: only the keys are dealt out to find the others
     member = classes.select("set_key", "id", "n", F.explode("keys").alias("bucket"))
-    many = member.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("id", "set_key", "n")).alias("first")).where("size > 1")
+    several = shared_table(member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "buckets")
+    member = shared_table(only_ids(member, several, "bucket").join(several, "bucket"), "members")
+    many = member.groupBy("bucket").agg(F.min(F.struct("id", "set_key", "n")).alias("first"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     star = (
-        member.join(many.select("bucket", "first"), "bucket")
+        member.join(many, "bucket")
         .where((F.col("set_key") != F.col("first.set_key")) & fits(F.col("n"), F.col("first.n")))
         .select(F.col("first.set_key").alias("a"), F.col("set_key").alias("b"))
         .distinct()
@@ -273,9 +276,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 def _sets(docs: DataFrame, classes: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
     """(set_key, members) of the classes named by keys. Only their texts are read into the join."""
     wanted = shared_table(keys.distinct().join(classes.select("set_key", F.col("id").alias("doc_id"), "key"), "set_key"), "wanted")
-    texts = only_ids(_source(docs), wanted.select("doc_id")).join(wanted, ["doc_id", "key"])
-    sets = texts.select("set_key", "__bytes").mapInArrow(_full_sets(shingle), "set_key binary, members binary")
-    return shared_table(sets.dropDuplicates(["set_key"]), "sets")
+    # repeated rows are merged as texts, in the one exchange that the join needs as well
+    texts = only_ids(_source(docs), wanted.select("doc_id")).groupBy("doc_id", "key").agg(F.first("__bytes").alias("__bytes"))
+    sets = texts.join(wanted, ["doc_id", "key"]).select("set_key", "__bytes").mapInArrow(_full_sets(shingle), "set_key binary, members binary")
+    return shared_table(sets, "sets")
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:

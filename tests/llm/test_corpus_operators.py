@@ -114,6 +114,33 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch, block, shingles):
     assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want
 
 
+def shuffled_rows(spark, run):
+    """Rows that the stages of run() wrote for exchanges."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        listed = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(listed.apply, range(listed.size()))}
+
+    before = stages()
+    run()
+    return sum(n for at, n in stages().items() if at not in before)
+
+
+def test_near_duplicates_deal_out_each_band_once(spark):
+    """Bands that no other class has are dealt out once; the star and the comparison between groups get the others."""
+    n = 300
+    rows = [(i, " ".join(words(40, 1000 + i, 10**6))) for i in range(n)]
+    rows += [(n + i, t + " more") for i, t in rows[:20]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    moved = shuffled_rows(spark, lambda: got.extend(neardup.near_duplicates(d, 4).collect()))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_groups(rows, 4)
+    assert moved < 2 * neardup.BANDS * len(rows)
+
+
 def test_one_of_each_decides_by_row(spark):
     """A unique text stays, whatever other rows have its doc_id; repeats of a row stay once; no id: all stay."""
     a, b, c = (" ".join(words(60, k)) for k in (1, 2, 3))
