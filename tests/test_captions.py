@@ -296,3 +296,42 @@ def test_streaming_keep(spark, tmp_path):
         q.awaitTermination(120)
         assert q.exception() is None
     assert sorted(r.frame_index for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 2, 4]
+
+
+def test_norms_of_cleaning(spark):
+    """The norm that cleaning gives is the norm of what it gives, and the ways around work give what the work gives."""
+    rng = random.Random(5)
+    odd = ["", " ", "\xa0", " ", "\x1c", "\x85", "- ", "|", "'", '"', "*", "```", "shown in close up background is blurred ", "Close up of ", "100 polyester", "\n- ", "İ", "K", "ПРИ ", "text reads: "]
+    texts = [*CLEAN, *("".join(rng.choice([*odd, "word ", "A b. ", "x" * 43 + " ", "subtitle "]) for _ in range(rng.randint(0, 12))) for _ in range(400))]
+    o = spark.createDataFrame([(1, i, float(i), i, t) for i, t in enumerate(texts)], "run_id int, frame_index int, timestamp_seconds double, input_ord int, selected_text string")
+    s = islands.observation_status(o, keep_norm=True).select("*", tx.normalize_raw(F.col("cleaned_text")).alias("want"), tx.norm_of_clean(F.col("cleaned_text"), F.col("cleaned_norm")).alias("n2"), tx.normalize(F.col("cleaned_text")).alias("w2"), tx.suspicious_clean(F.col("cleaned_text")).alias("odd"), tx.suspicious(F.col("cleaned_text")).alias("whole"), lay.display_length(F.col("selected_text")).alias("k"), F.length(F.array_join(lay.layout(F.col("selected_text")), " ")).alias("laid"))
+    for r in s.collect():
+        assert r.cleaned_norm == r.want and r.n2 == r.w2 and r.k == r.laid, r
+        assert r.odd == r.whole, r
+
+
+def test_keys_of_phrases():
+    """Every phrase has one of its list's keys, so that a text without keys has no phrase."""
+    from kinescribe.functions import rules
+    from kinescribe.functions.base import keys
+
+    for name in ("ABSENCE_SUFFIXES", "PROMPT_MARKERS", "EMPTY_PHRASES", "IMAGE_MARKERS", "NOTE_ABSENCE_MARKERS", "NOTE_TEST_MARKERS", "BIRTHDAY_MARKERS"):
+        values = getattr(rules, name)
+        assert all(any(k in v for k in keys(values)) for v in values)
+
+
+def test_ngram_loop_of_few_heaps(spark):
+    """Loops among other words, at the least counts, against counting."""
+    rng = random.Random(9)
+
+    def loops(words):
+        n = len(words)
+        return n >= 10 and any(max(Counter(tuple(words[i : i + k]) for i in range(n - k + 1)).values()) * k >= max(4 * k, n * 0.55) for k in (2, 3, 4, 5))
+
+    texts = []
+    for _ in range(300):
+        phrase, other = [rng.choice("abcd") for _ in range(rng.randint(1, 5))], rng.randint(0, 30)
+        texts.append(phrase * rng.randint(3, 12) + [f"w{rng.randint(0, 60)}" for _ in range(other)])
+    got = one(spark, [" ".join(t) for t in texts], "string", tx.ngram_loop)
+    want = [loops(t) for t in texts]
+    assert got == want and 20 < sum(want) < 280
